@@ -55,7 +55,8 @@ class Words:
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         self.start, self.end = edges[::2], edges[1::2]
         n = len(self.data)
-        sums = np.concatenate(([0], np.cumsum(_VALUE[self.data] * _power("up", _BASE, n), dtype=np.uint64))).astype(np.uint64)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_VALUE[self.data] * _power("up", _BASE, n), out=sums[1:])
         raw = (sums[self.end] - sums[self.start]) * _power("down", _INVERSE, n + 1)[self.start]
         self.hash = mix(raw + (self.end - self.start).astype(np.uint64))
         at = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts]))).astype(np.int64)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("token_counts",)
+MODULES = ("token_counts", "license_scan", "language_id", "decontaminate")
 
 
 def collected() -> tuple[dict, dict]:
