@@ -37,7 +37,7 @@ aggregate(sequence(0, p - 1),
   (a, t) -> transform(array(array_min(transform(
       filter(sequence(0, size(u) - 1), i -> a.done[i] < u[i] AND (a.done[i] * p) div u[i] <= t),
       i -> named_struct('due', ((a.done[i] + 1) * p + u[i] - 1) div u[i], 'i', i)))),
-    b -> named_struct('done', transform(a.done, (x, j) -> IF(j = b.i, x + 1, x)), 'picks', a.picks || b.i))[0],
+    b -> named_struct('done', transform(a.done, (x, j) -> IF(j = b.i, x + 1, x)), 'picks', concat(a.picks, array(b.i))))[0],
   a -> a.picks)
 """
 
@@ -102,12 +102,12 @@ run(t, done, pick) AS (
   SELECT t + 1, list_transform(done, lambda x, j: CASE WHEN j = b.i THEN x + 1 ELSE x END), b.i
   FROM (SELECT t, done, list_sort(list_transform(list_filter(range(1, len(u) + 1), lambda i: done[i] < u[i] AND done[i] * p // u[i] <= t + 1),
           lambda i: {'due': ((done[i] + 1) * p + u[i] - 1) // u[i], 'i': i::INT}))[1] AS b FROM run, s WHERE t + 1 < p)),
-period AS (SELECT keys[pick] AS key, t AS at, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS nth FROM run, s WHERE t >= 0),
-horizon AS (SELECT min(((n + 7) // 8) // units * p + at) AS h FROM period JOIN u USING (key) JOIN n USING (key), s WHERE nth = ((n + 7) // 8) % units),
+period AS (SELECT keys[pick] AS key, t AS at_slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS nth FROM run, s WHERE t >= 0),
+horizon AS (SELECT min(((n + 7) // 8) // units * p + at_slot) AS h FROM period JOIN u USING (key) JOIN n USING (key), s WHERE nth = ((n + 7) // 8) % units),
 r AS (SELECT doc_id, source, key, row_number() OVER (PARTITION BY key ORDER BY digest) - 1 AS rank FROM k),
 b AS (SELECT doc_id, source, key, rank, rank // 8 AS block_no FROM r)
 SELECT doc_id, source, units, block_no::BIGINT AS block_no, (block_no * p // units)::BIGINT AS release, (((block_no + 1) * p + units - 1) // units)::BIGINT AS deadline,
-  (block_no // units * p + at)::BIGINT AS slot, ((block_no // units * p + at) * 8 + rank % 8)::BIGINT AS position, block_no // units * p + at < h AS within_target
+  (block_no // units * p + at_slot)::BIGINT AS slot, ((block_no // units * p + at_slot) * 8 + rank % 8)::BIGINT AS position, block_no // units * p + at_slot < h AS within_target
 FROM b JOIN u USING (key) JOIN period USING (key), s, horizon WHERE nth = block_no % units
 """
 }
