@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.llm._text import chunks
+
 
 def table(sf_dir: str, name: str, spark: SparkSession) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -56,3 +61,31 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if new.where("old <> component_id").isEmpty():
             return labels
     raise RuntimeError(f"components not settled after {rounds} rounds")
+
+
+FILTER = 1 << 23
+
+
+def carried(docs: DataFrame, ids: DataFrame, make: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
+    """Rows (doc_id, carried) for ids (id): what `make` gives for each text.
+
+    A bit map of 1 MB, whatever the size, keeps most other documents from being shuffled; the join drops the rest.
+    """
+    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER))
+    rows = ids.select(F.bitmap_bucket_number(bit).alias("k"), F.bitmap_bit_position(bit).alias("at")).groupBy("k").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
+    maps = np.zeros((FILTER // 32768 + 1, 4096), np.uint8)
+    for r in rows:
+        maps[r.k - 1] = np.frombuffer(r.bits, np.uint8)  # buckets are numbered from 1, that of bit 0 is 0
+    sent = docs.sparkSession.sparkContext.broadcast(maps)
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
+    named = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.bitmap_bucket_number(bit).alias("k"), F.bitmap_bit_position(bit).alias("at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps = sent.value
+        for batch in batches:
+            k, at = batch.column("k").to_numpy() - 1, batch.column("at").to_numpy()
+            keep = ((maps[k, at // 8] >> (at % 8).astype(np.uint8)) & 1).astype(bool)
+            for others, texts in chunks([batch.filter(pa.array(keep))]):
+                yield pa.RecordBatch.from_arrays([pa.array(others["doc_id"], pa.int64()), pa.array(make(texts), pa.binary())], ["doc_id", "carried"])
+
+    return named.mapInArrow(run, "doc_id long, carried binary").join(ids, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])

@@ -36,12 +36,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm._spark import components, partitions, stored, table
+from lexmill.llm._spark import carried, components, partitions, stored, table
 from lexmill.llm._text import SPACED, Words, chunks, mix, shingles
 
 SKETCH, PARTS, CELLS = 1 << 22, 64, 32
 CHUNK = 4096
-_FILTER = 1 << 23
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -180,31 +179,10 @@ def joined_regions(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.concat([out, pd.DataFrame(rows, columns=["a", "b", "docs", "sizes"])], ignore_index=True)
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """Rows (doc_id, members) for ids (id). A bit map of 1 MB keeps most other documents from being shuffled, the join drops the rest."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(_FILTER))
-    rows = ids.select(F.bitmap_bucket_number(bit).alias("k"), F.bitmap_bit_position(bit).alias("at")).groupBy("k").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
-    maps = np.zeros((_FILTER // 32768 + 1, 4096), np.uint8)
-    for r in rows:
-        maps[r.k - 1] = np.frombuffer(r.bits, np.uint8)  # bucket numbers begin at 1, but for bit 0
-    sent = docs.sparkSession.sparkContext.broadcast(maps)
-    named = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.bitmap_bucket_number(F.pmod(F.xxhash64("doc_id"), F.lit(_FILTER))).alias("k"), F.bitmap_bit_position(F.pmod(F.xxhash64("doc_id"), F.lit(_FILTER))).alias("at"))
-
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = sent.value
-        for batch in batches:
-            k, at = batch.column("k").to_numpy() - 1, batch.column("at").to_numpy()
-            keep = (maps[k, at // 8] >> (at % 8).astype(np.uint8)) & 1
-            for others, texts in chunks([batch.filter(pa.array(keep.astype(bool)))]):
-                yield pa.RecordBatch.from_arrays([pa.array(others["doc_id"], pa.int64()), pa.array([packed(np.unique(s >> np.uint64(16))) for s in sets(texts, size)], pa.binary())], ["doc_id", "members"])
-
-    return named.mapInArrow(members, "doc_id long, members binary").join(ids, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
-
-
 def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Of pairs (a, b) those whose sets' Jaccard is percent / 100 or more."""
     ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-    found = stored(sets_of(docs, ids, size))
+    found = stored(carried(docs, ids, lambda texts: [packed(np.unique(s >> np.uint64(16))) for s in sets(texts, size)]).withColumnRenamed("carried", "members"))
     left, right = found.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), found.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,8 +239,8 @@ def linked(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents that are the smallest of their component (or have no doc_id), with all their columns."""
-    copies = linked(docs, size, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("copy_id")).distinct()
-    return docs.join(copies, docs.doc_id == copies.copy_id, "left_anti")
+    copies = stored(linked(docs, size, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__copy")).distinct())
+    return docs.join(copies, docs.doc_id == F.col("__copy"), "left_anti")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

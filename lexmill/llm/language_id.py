@@ -117,6 +117,17 @@ def language_id(docs: DataFrame, train: DataFrame, share: float = 1e-5) -> DataF
     return docs.select("doc_id", "text").mapInArrow(predict, "doc_id long, lang_pred string, score double")
 
 
+def recognised(docs: DataFrame, train: DataFrame, least: float = 0.6) -> DataFrame:
+    """docs, with all their columns, without those that are `und` or whose score is under `least`; a null lang gets the prediction."""
+    found = stored(language_id(docs.where("doc_id IS NOT NULL"), train).dropDuplicates(["doc_id"]))
+    bad = found.where((F.col("lang_pred") == "und") | (F.col("score") < least)).select(F.col("doc_id").alias("__id"))
+    kept = docs.join(stored(bad), docs.doc_id == F.col("__id"), "left_anti")
+    if "lang" not in docs.columns:
+        return kept
+    missing = kept.where("lang IS NULL").join(found.select(F.col("doc_id").alias("__id"), "lang_pred"), F.col("doc_id") == F.col("__id"), "left").withColumn("lang", F.col("lang_pred").cast(docs.schema["lang"].dataType))
+    return kept.where("lang IS NOT NULL").unionByName(missing.select(*docs.columns))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(sf_dir, "documents", spark)
     return language_id(docs, docs.where(~held_out(5, 0))).select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score")
