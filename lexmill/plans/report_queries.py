@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import identity, urls
 from lexmill.operators import bundles, capture, coverage, records
 from lexmill.plans.text_queries import read
+from lexmill.sources import pages
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -151,3 +152,16 @@ QUERIES["src_jsonl_probe"] = lambda s, d: bundles.probe(read(s, d, "events").sel
 SQL["src_jsonl_probe"] = "SELECT count(*) AS lines, count(*) FILTER (event_id % 10 > 1) AS parsed, count(*) FILTER (event_id % 10 = 0) AS errors, count(*) FILTER (event_id % 10 = 1) AS blank FROM events"
 QUERIES["fn_robots_notes"] = lambda s, d: read(s, d, "events").select("event_id", urls.robots_note(F.when(F.col("user_id") % 4 > 0, F.lit(200) + F.col("user_id") % 4 * 102), F.col("event_type") == "click", F.col("event_id") % 17 == 0).alias("note"))
 SQL["fn_robots_notes"] = "SELECT event_id, CASE WHEN event_id % 17 = 0 THEN 'permission_override' WHEN user_id % 4 = 0 THEN 'robots_fetch_failed' WHEN user_id % 4 = 2 THEN 'no_robots_file' ELSE 'robots_unexpected_status_' || (200 + user_id % 4 * 102) END AS note FROM events"
+
+
+# pages
+def _html_pages(spark, sf) -> DataFrame:
+    """Pages drawn from tables: each nation's suppliers are its lexicon page, each region's nations an index page."""
+    entry = F.concat(F.lit('<a name="'), "s_name", F.lit('"></a><p class="lxP"><span class="Lxe" id="e'), F.col("s_suppkey").cast("string"), F.lit('">'), F.col("s_name"), F.lit('</span><span class="PS">n</span></p><p class="lxP2"><span class="SnsN">1)</span><div class="GlFr">'), F.col("s_acctbal").cast("string"), F.lit("</div></p>"))
+    return read(spark, sf, "supplier").select(F.col("s_nationkey"), F.col("s_suppkey"), entry.alias("e")).groupBy("s_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "e"))), lambda x: x.e), "").alias("html")).select(F.concat(F.lit("https://dict.example/lexicon/"), F.col("s_nationkey").cast("string"), F.lit(".htm")).alias("url"), "html")
+
+
+QUERIES["html_lexicon_entries"] = lambda s, d: pages.lexicon(_html_pages(s, d)).select("entry_id", "headword", F.array_join("anchors", ",").alias("anchors"), "pos_hint", F.size("senses").cast("long").alias("senses"), F.get("senses", F.lit(0)).getField("sense_num").alias("sense_num"), "ir_id", "end_selector")
+SQL["html_lexicon_entries"] = "SELECT 'e' || s_suppkey AS entry_id, s_name AS headword, s_name AS anchors, 'n' AS pos_hint, 1::BIGINT AS senses, 1 AS sense_num, substr(sha256('source|https://dict.example/lexicon/' || s_nationkey || '.htm|e' || s_suppkey || '|lexicon_v3'), 1, 16) AS ir_id, lead('e' || s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS end_selector FROM supplier"
+QUERIES["html_page_fields"] = lambda s, d: pages.parsed(read(s, d, "pages"), pages.page_fields, "url string, title string, h1 string, links int, paragraphs int").select("url", "links", F.length("title").alias("title"), F.length("h1").alias("h1"))
+SQL["html_page_fields"] = "SELECT url, (len(regexp_extract_all(html, '<a[ >]')))::INT AS links, length(trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')))::INT AS title, length(trim(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&')))::INT AS h1 FROM pages"
