@@ -10,6 +10,9 @@ regions, triangle inequality over pivots prunes exactly: the universe of shingle
 cells, |x and cell| is x's distance to a pivot up to a constant, and two sets that differ in the cells'
 sizes by more than t allows cannot link.
 
+A pair is looked at where its first common shingle can be: so many of both sets' shingles must not come
+before it that the threshold can still be met.
+
 Regions join recursively: first every region links its documents to its smallest (a star, so a group
 of thousands of near copies makes no squared number of pairs); candidates are verified on whole sets
 and joined into components; then only documents of one region that are still in different components
@@ -114,20 +117,21 @@ def leading_shingles(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def dealt(nodes: DataFrame, buckets: int) -> DataFrame:
-    """Entries (shingle, doc, n) of the leading shingles in compressed columns, by bucket."""
+    """Entries (shingle, doc, n, rest) of the leading shingles in compressed columns, by bucket; rest: how many shingles of the set do not come before it."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
             lead = np.concatenate(leads)
             many = [len(x) for x in leads]
             doc, n = np.repeat(np.array(ids, np.int64), many), np.repeat(np.array(sizes, np.int64), many)
+            rest = n - np.concatenate([np.arange(k) for k in many])
             to = (mix(lead) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             cut = np.searchsorted(to[order], np.arange(buckets + 1))
             out = []
             for b in np.flatnonzero(np.diff(cut)):
                 o = order[cut[b] : cut[b + 1]]
-                out.append((int(b), zstandard.ZstdCompressor(1).compress(lead[o].tobytes() + np.diff(doc[o], prepend=0).tobytes() + n[o].astype(np.uint32).tobytes())))
+                out.append((int(b), zstandard.ZstdCompressor(1).compress(lead[o].tobytes() + np.diff(doc[o], prepend=0).tobytes() + n[o].astype(np.uint32).tobytes() + rest[o].astype(np.uint32).tobytes())))
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["bucket", "entries"])
 
         leads, ids, sizes, held = [], [], [], 0
@@ -137,7 +141,7 @@ def dealt(nodes: DataFrame, buckets: int) -> DataFrame:
                 ids.append(d)
                 sizes.append(n)
                 held += len(leads[-1])
-                if held >= 2_000_000:
+                if held >= 1_000_000:
                     yield flush()
                     leads, ids, sizes, held = [], [], [], 0
         if held:
@@ -146,37 +150,48 @@ def dealt(nodes: DataFrame, buckets: int) -> DataFrame:
     return nodes.select("doc_id", "n", "lead").mapInArrow(deal, "bucket int, entries binary")
 
 
-def entries(blobs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    shingle, doc, n = [], [], []
+def entries(blobs) -> tuple[np.ndarray, ...]:
+    parts: tuple[list, ...] = ([], [], [], [])
     for blob in blobs:
         raw = zstandard.ZstdDecompressor().decompress(blob)
-        k = len(raw) // 20
-        shingle.append(np.frombuffer(raw, np.uint64, k))
-        doc.append(np.cumsum(np.frombuffer(raw, np.int64, k, 8 * k)))
-        n.append(np.frombuffer(raw, np.uint32, k, 16 * k).astype(np.int64))
-    return np.concatenate(shingle), np.concatenate(doc), np.concatenate(n)
+        k = len(raw) // 24
+        parts[0].append(np.frombuffer(raw, np.uint64, k))
+        parts[1].append(np.cumsum(np.frombuffer(raw, np.int64, k, 8 * k)))
+        parts[2].append(np.frombuffer(raw, np.uint32, k, 16 * k).astype(np.int64))
+        parts[3].append(np.frombuffer(raw, np.uint32, k, 20 * k).astype(np.int64))
+    return tuple(map(np.concatenate, parts))
+
+
+def may_link(na, nb, rest, percent: int):
+    """Whether sets of these sizes can link if their first common shingle leaves them `rest` to share at most."""
+    return percent * (na + nb) <= (100 + percent) * rest
 
 
 def joined_regions(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Of a bucket of regions: star candidates (a, b), and the regions of three or more documents in chunks (a: region, b: chunk, docs)."""
-    shingle, doc, n = entries(frame.entries)
+    shingle, doc, n, rest = entries(frame.entries)
     values, where, many = np.unique(shingle, return_inverse=True, return_counts=True)
     on = np.flatnonzero(many[where] > 1)
     on = on[np.lexsort((doc[on], where[on]))]
-    doc, n, where = doc[on], n[on], where[on]
+    doc, n, rest, where = doc[on], n[on], rest[on], where[on]
     start = np.flatnonzero(np.diff(where, prepend=-1))
     size = np.diff(np.append(start, len(where)))
     first = np.repeat(start, size)
-    near = (np.arange(len(where)) != first) & (100 * np.minimum(n, n[first]) >= percent * np.maximum(n, n[first]))
+    near = (np.arange(len(where)) != first) & may_link(n, n[first], np.minimum(rest, rest[first]), percent)
     pairs = np.unique(np.stack([doc[first[near]], doc[near]], 1), axis=0) if near.any() else np.zeros((0, 2), np.int64)
-    out = pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "docs": None, "sizes": None})
+    out = pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "docs": None, "sizes": None, "rests": None})
     if not len(start):
         return out
     name = np.add.reduceat(mix(doc.astype(np.uint64)), start).view(np.int64)
     large = np.flatnonzero(size > 2)
-    large = large[np.unique(name[large], return_index=True)[1]]
-    rows = [(int(name[g]), k // CHUNK, doc[start[g] + k : start[g] + min(k + CHUNK, size[g])], n[start[g] + k : start[g] + min(k + CHUNK, size[g])]) for g in large for k in range(0, size[g], CHUNK)]
-    return pd.concat([out, pd.DataFrame(rows, columns=["a", "b", "docs", "sizes"])], ignore_index=True)
+    # of regions with the same documents the most that each of them can share
+    same = {}
+    for g in large:
+        part = slice(start[g], start[g] + size[g])
+        key = int(name[g])
+        same[key] = (doc[part], n[part], np.maximum(same[key][2], rest[part]) if key in same else rest[part])
+    rows = [(key, k // CHUNK, *(x[k : k + CHUNK] for x in group)) for key, group in same.items() for k in range(0, len(group[0]), CHUNK)]
+    return pd.concat([out, pd.DataFrame(rows, columns=["a", "b", "docs", "sizes", "rests"])], ignore_index=True)
 
 
 def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -206,19 +221,19 @@ def linked(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     same = every.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"))
     same = stored(same)
     nodes = every.join(same.where("node IS NOT NULL").select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    regions = stored(dealt(nodes, 4 * partitions(spark)).groupBy("bucket").applyInPandas(lambda f: joined_regions(f, percent), "a long, b long, docs array<long>, sizes array<long>"))
+    regions = stored(dealt(nodes, 4 * partitions(spark)).groupBy("bucket").applyInPandas(lambda f: joined_regions(f, percent), "a long, b long, docs array<long>, sizes array<long>, rests array<long>"))
     stars = stored(regions.where("docs IS NULL").select("a", "b").distinct())
     links = stored(verified(docs, stars, size, percent))
     label = components(links)
 
     # documents of one region that are in different components
-    large = regions.where("docs IS NOT NULL").dropDuplicates(["a", "b"]).select(F.col("a").alias("region"), F.explode(F.arrays_zip("docs", "sizes")).alias("d")).select("region", F.col("d.docs").alias("id"), F.col("d.sizes").alias("n"))
-    placed = large.join(label, "id", "left").select("region", "id", "n", F.coalesce("component_id", "id").alias("c"))
-    placed = stored(placed)
+    large = regions.where("docs IS NOT NULL").select(F.col("a").alias("region"), F.explode(F.arrays_zip("docs", "sizes", "rests")).alias("d"))
+    large = large.groupBy("region", F.col("d.docs").alias("id")).agg(F.max("d.sizes").alias("n"), F.max("d.rests").alias("rest"))
+    placed = stored(large.join(label, "id", "left").select("region", "id", "n", "rest", F.coalesce("component_id", "id").alias("c")))
     open_regions = placed.groupBy("region").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("region")
     left = placed.join(open_regions, "region", "left_semi")
-    x, y = left.toDF("region", "a", "na", "ca"), left.toDF("region", "b", "nb", "cb")
-    more = x.join(y, "region").where(f"ca <> cb AND a < b AND 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "na", "nb").distinct().join(stars, ["a", "b"], "left_anti")
+    x, y = left.toDF("region", "a", "na", "ra", "ca"), left.toDF("region", "b", "nb", "rb", "cb")
+    more = x.join(y, "region").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & may_link(F.col("na"), F.col("nb"), F.least("ra", "rb"), percent)).select("a", "b", "na", "nb").distinct().join(stars, ["a", "b"], "left_anti")
     cells = nodes.select(F.col("doc_id").alias("id"), "cells")
     more = more.join(cells.toDF("a", "pa"), "a").join(cells.toDF("b", "pb"), "b")
 
