@@ -31,7 +31,7 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     have = _powers.get(name)
     if have is None or len(have) < n:
-        out = np.full(max(n, 1 << 21), base, np.uint64)
+        out = np.full(max(n, 1 << 19), base, np.uint64)
         out[0] = 1
         _powers[name] = have = np.cumprod(out, dtype=np.uint64)
     return have[:n]
@@ -90,7 +90,7 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return out, begin
 
 
-def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = 1 << 20) -> Iterator[tuple[dict[str, list], list[bytes]]]:
+def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = 1 << 18) -> Iterator[tuple[dict[str, list], list[bytes]]]:
     """Arrow batches as chunks of about `size` bytes of text: the other columns, and texts as bytes (null: empty)."""
     for batch in batches:
         texts = [t or b"" for t in batch.column(text).cast(pa.binary()).to_pylist()]

@@ -64,7 +64,7 @@ def learn(train: DataFrame, share: float = 1e-5) -> tuple[list[str], np.ndarray,
     """Languages (most grams first), bit masks, and false-positive rates. train: (text, lang)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for others, texts in chunks(batches, size=4 << 20):
+        for others, texts in chunks(batches, size=1 << 20):
             for lang in sorted(set(others["lang"])):
                 found, n = np.unique(grams([t for t, x in zip(texts, others["lang"]) if x == lang])[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(found.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])

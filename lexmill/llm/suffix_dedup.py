@@ -127,7 +127,7 @@ def first_digit(docs: DataFrame, depth: int, digit: int, buckets: int) -> DataFr
             h, text, place, _, _ = chosen(data, at, depth, digit)
             held.append((h, np.array(others["doc_id"], np.int64)[text], place - at[text]))
             count += len(h)
-            if count >= 1_500_000:
+            if count >= 1_000_000:
                 yield flush()
                 held, count = [], 0
         if count:
