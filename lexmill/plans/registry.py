@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("text_queries", "record_queries", "report_queries", "stream_queries")
+MODULES: tuple[str, ...] = ("text_queries", "record_queries", "report_queries", "rule_queries", "stream_queries")
 
 
 def collected() -> tuple[dict, dict]:
