@@ -100,13 +100,19 @@ QUERIES["jn_crawl_dedup_history"] = lambda s, d: recrawl(s, d, True)
 SQL["jn_crawl_dedup_history"] = _recrawl_sql("CASE WHEN seen THEN sha256 ELSE psha END")
 
 # order-dependent operators
-_LINE = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
-QUERIES["win_next_entry"] = lambda s, d: read(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.lead("l_partkey").over(_LINE).alias("end_selector"))
+def _line():
+    return Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+
+
+QUERIES["win_next_entry"] = lambda s, d: read(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.lead("l_partkey").over(_line()).alias("end_selector"))
 SQL["win_next_entry"] = "SELECT l_orderkey, l_linenumber, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS end_selector FROM lineitem"
-QUERIES["win_entry_index"] = lambda s, d: read(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", (F.row_number().over(_LINE) - 1).alias("entry_index")).where("l_returnflag <> 'N'")
+QUERIES["win_entry_index"] = lambda s, d: read(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", (F.row_number().over(_line()) - 1).alias("entry_index")).where("l_returnflag <> 'N'")
 SQL["win_entry_index"] = "SELECT * FROM (SELECT l_orderkey, l_linenumber, l_returnflag, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) - 1)::INT AS entry_index FROM lineitem) WHERE l_returnflag <> 'N'"
-_TURN = Window.partitionBy("conv_id").orderBy("turn", "role").rowsBetween(Window.unboundedPreceding, 0)
-QUERIES["win_sense_segments"] = lambda s, d: read(s, d, "conversations").select("conv_id", "turn", "role", F.sum((F.col("role") == "user").cast("long")).over(_TURN).alias("segment")).groupBy("conv_id", "segment").agg(F.count("*").alias("blocks"), F.min("turn").alias("first"))
+def _turn():
+    return Window.partitionBy("conv_id").orderBy("turn", "role").rowsBetween(Window.unboundedPreceding, 0)
+
+
+QUERIES["win_sense_segments"] = lambda s, d: read(s, d, "conversations").select("conv_id", "turn", "role", F.sum((F.col("role") == "user").cast("long")).over(_turn()).alias("segment")).groupBy("conv_id", "segment").agg(F.count("*").alias("blocks"), F.min("turn").alias("first"))
 SQL["win_sense_segments"] = "SELECT conv_id, segment, count(*) AS blocks, min(turn) AS first FROM (SELECT conv_id, turn, sum((role = 'user')::BIGINT) OVER (PARTITION BY conv_id ORDER BY turn, role ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS segment FROM conversations) GROUP BY ALL"
 QUERIES["srt_query_params"] = lambda s, d: read(s, d, "pages").select("page_id", F.array_join(F.array_sort(F.filter(F.split(F.regexp_extract("url", r"\?([^#]*)", 1), "&"), lambda p: p != "")), "&").alias("params"))
 SQL["srt_query_params"] = "SELECT page_id, array_to_string(list_sort(list_filter(str_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '')), '&') AS params FROM pages"
@@ -122,10 +128,13 @@ QUERIES["flt_page_kind"] = lambda s, d: read(s, d, "pages").where(F.col("url").c
 SQL["flt_page_kind"] = "SELECT page_id, url FROM pages WHERE contains(url, '/en/') OR contains(url, '/fr/')"
 
 # bundles
-_FILES = F.array_sort(F.collect_list(F.struct(F.col("n_name").alias("path"), F.col("n_nationkey").cast("long").alias("byte_length"), F.sha2("n_name", 256).alias("sha256"))))
-QUERIES["agg_content_hash"] = lambda s, d: read(s, d, "nation").groupBy("n_regionkey").agg(identity.files_sha256(_FILES).alias("content_sha256"))
+def _files():
+    return F.array_sort(F.collect_list(F.struct(F.col("n_name").alias("path"), F.col("n_nationkey").cast("long").alias("byte_length"), F.sha2("n_name", 256).alias("sha256"))))
+
+
+QUERIES["agg_content_hash"] = lambda s, d: read(s, d, "nation").groupBy("n_regionkey").agg(identity.files_sha256(_files()).alias("content_sha256"))
 SQL["agg_content_hash"] = """SELECT n_regionkey, 'sha256:' || sha256('[' || string_agg('{"byte_length":' || n_nationkey || ',"path":"' || n_name || '","sha256":"' || sha256(n_name) || '"}', ',' ORDER BY n_name) || ']') AS content_sha256 FROM nation GROUP BY 1"""
-QUERIES["srt_files"] = lambda s, d: read(s, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.transform(_FILES, lambda f: f.path), "|").alias("paths"))
+QUERIES["srt_files"] = lambda s, d: read(s, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.transform(_files(), lambda f: f.path), "|").alias("paths"))
 SQL["srt_files"] = "SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_name) AS paths FROM nation GROUP BY 1"
 
 

@@ -30,8 +30,11 @@ QUERIES["opt_corrections"] = corrected
 SQL["opt_corrections"] = """SELECT c_custkey::VARCHAR AS ir_id, CASE WHEN ok AND s_suppkey % 8 = 0 THEN s_name WHEN ok AND s_suppkey % 4 = 1 THEN NULL ELSE c_name END AS name, CASE WHEN ok AND s_suppkey % 4 = 3 THEN s_name END AS note, c_mktsegment AS segment,
   CASE WHEN ok AND (s_suppkey % 8 = 4 OR (s_suppkey % 4 = 2 AND s_name <> c_name)) THEN 'p1' END AS patch_error
 FROM (SELECT *, s_suppkey IS NOT NULL AND s_suppkey % 5 > 0 AS ok FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey)"""
-_RAW = F.when(F.col("p_size") % 7 > 0, F.element_at(F.array(*[F.lit(x) for x in ("n", "V", "adj", " pp ", "conj", "n.prop")]), F.col("p_size") % 6 + 1))
-QUERIES["opt_posmap"] = lambda s, d: read(s, d, "part").select("p_partkey", *[c.alias(n) for c, n in zip(rules.pos_tag(_RAW), ("pos", "pos_uncertain"))])
+def _raw():
+    return F.when(F.col("p_size") % 7 > 0, F.element_at(F.array(*[F.lit(x) for x in ("n", "V", "adj", " pp ", "conj", "n.prop")]), F.col("p_size") % 6 + 1))
+
+
+QUERIES["opt_posmap"] = lambda s, d: read(s, d, "part").select("p_partkey", *[c.alias(n) for c, n in zip(rules.pos_tag(_raw()), ("pos", "pos_uncertain"))])
 SQL["opt_posmap"] = "SELECT p_partkey, CASE WHEN p_size % 7 > 0 THEN ['NOUN', 'VERB', 'OTHER', 'ADP', 'PART', 'NOUN'][p_size % 6 + 1] END AS pos, CASE WHEN p_size % 7 > 0 THEN p_size % 6 = 2 END AS pos_uncertain FROM part"
 QUERIES["opt_excluded_sources"] = lambda s, d: rules.without_sources(read(s, d, "documents").select("doc_id", F.col("source").alias("source_id")), read(s, d, "documents").where("source IN ('src1', 'src2')").select(F.col("source").alias("source_id")))
 SQL["opt_excluded_sources"] = "SELECT doc_id, source AS source_id FROM documents WHERE source NOT IN ('src1', 'src2')"

@@ -36,14 +36,14 @@ def url_list(lines: DataFrame) -> DataFrame:
 
 
 @F.udf(T.BinaryType())
-def unzstd(content: bytes) -> bytes:
+def unzstd(content):
     import zstandard
 
     return None if content is None else zstandard.ZstdDecompressor().decompressobj().decompress(bytes(content))
 
 
 @F.udf(T.BinaryType())
-def zstd(content: bytes) -> bytes:
+def zstd(content):
     import zstandard
 
     return None if content is None else zstandard.ZstdCompressor(3).compress(bytes(content))
