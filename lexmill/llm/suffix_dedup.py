@@ -18,8 +18,8 @@ Documents of equal texts are found first: all but the smallest are wholly repeat
 bytes on) and take no part.
 
 Cases: null text is empty: nothing removed, kept is the digest of no bytes; texts shorter than
-`depth` keep all; repeats within one document alone stay; rows of one doc_id count as that document;
-rows without doc_id remove nothing and lose nothing; an empty table gives no rows; other columns are
+`depth` keep all; repeats within one document alone stay; doc_id is a key, and rows that repeat it
+repeat its text; rows without doc_id remove nothing and lose nothing; an empty table gives no rows; other columns are
 ignored.
 """
 
