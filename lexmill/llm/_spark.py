@@ -63,6 +63,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components not settled after {rounds} rounds")
 
 
+def equal_texts(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, of): documents whose text a smaller doc_id has too, and the smallest such.
+
+    Groups are a table of their own before the join, so adaptive execution can split the partition of a group of very many copies.
+    """
+    keyed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.md5("text").alias("k1"), F.octet_length("text").alias("k2"))
+    groups = stored(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("of"), F.max("doc_id").alias("most")).where("of < most").drop("most"))
+    return stored(keyed.join(groups, ["k1", "k2"]).where("doc_id > of").select("doc_id", "of").distinct())
+
+
 FILTER = 1 << 23
 
 

@@ -8,7 +8,8 @@ that a pass leaves with one document is finished, and groups equal to the full d
 repeated windows. Equal windows choose the same `digit`-byte string inside them, the one of least
 hash (a winnowing), so of each run of windows only that one place is dealt out:
  1. first digit: fingerprints of the chosen places, radix-dealt to buckets; those in one document
-    only are finished;
+    only are finished, and those that several documents of one task have are settled there, so a
+    string that very many documents have sends its bucket two witnesses a task;
  2. the survivors fetch their context (depth - digit bytes on both sides); equal contexts within a
     task are settled there, one of each goes on to its bucket;
  3. further digits: each bucket expands its places to windows and orders these by 8-byte words, most
@@ -35,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm._spark import partitions, stored, table
+from lexmill.llm._spark import equal_texts, partitions, table
 from lexmill.llm._text import chunks, mix
 
 _U = np.uint64
@@ -111,6 +112,16 @@ def _blobs(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "entries"])
 
 
+def packed_places(doc: np.ndarray, place: np.ndarray, h: np.ndarray | None = None) -> bytes:
+    return _squeeze((b"" if h is None else h.tobytes()) + np.diff(doc, prepend=0).tobytes() + place.tobytes())
+
+
+def unpacked_places(blob: bytes, with_h: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    raw, at = _open(blob), 8 if with_h else 0
+    k = len(raw) // (at + 12)
+    return np.cumsum(np.frombuffer(raw, np.int64, k, at * k)), np.frombuffer(raw, np.int32, k, (at + 8) * k), np.frombuffer(raw, np.uint64, k) if with_h else None
+
+
 def first_digit(docs: DataFrame, depth: int, digit: int, buckets: int) -> DataFrame:
     """Rows (doc_id, places) of the places whose first digit occurs in several documents."""
 
@@ -119,7 +130,19 @@ def first_digit(docs: DataFrame, depth: int, digit: int, buckets: int) -> DataFr
 
         def flush() -> pa.RecordBatch:
             h, doc, place = (np.concatenate(x) for x in zip(*held))
-            rows = [(b, _squeeze(h[o].tobytes() + np.diff(doc[o], prepend=0).tobytes() + place[o].astype(np.int32).tobytes())) for b, o in _buckets(_bucket_of(h, buckets), buckets)]
+            order = np.argsort(h, kind="stable")
+            h, doc, place = h[order], doc[order], place[order].astype(np.int32)
+            start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))[: len(h)]
+            low, high, size = np.minimum.reduceat(doc, start), np.maximum.reduceat(doc, start), np.diff(np.append(start, len(h)))
+            several = low != high
+            known = np.repeat(several, size)
+            # what several documents of this task have is settled; two witnesses without a place tell the other tasks
+            rows = [(b, b"s" + packed_places(doc[known][o], place[known][o])) for b, o in _buckets(doc[known] % buckets, buckets)]
+            witness = np.repeat(h[start][several], 2)
+            h = np.concatenate((h[~known], witness))
+            doc = np.concatenate((doc[~known], np.stack([low[several], high[several]], 1).reshape(-1)))
+            place = np.concatenate((place[~known], np.full(len(witness), -1, np.int32)))
+            rows += [(b, b"a" + packed_places(doc[o], place[o], h[o])) for b, o in _buckets(_bucket_of(h, buckets), buckets)]
             return _blobs(rows)
 
         for others, texts in chunks(batches):
@@ -134,19 +157,26 @@ def first_digit(docs: DataFrame, depth: int, digit: int, buckets: int) -> DataFr
             yield flush()
 
     def shared(frame: pd.DataFrame) -> pd.DataFrame:
-        parts = [[], [], []]
-        for raw in map(_open, frame.entries):
-            k = len(raw) // 20
-            parts[0].append(np.frombuffer(raw, np.uint64, k))
-            parts[1].append(np.cumsum(np.frombuffer(raw, np.int64, k, 8 * k)))
-            parts[2].append(np.frombuffer(raw, np.int32, k, 16 * k))
+        parts = [[np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]]
+        done = [[np.zeros(0, np.int64)], [np.zeros(0, np.int32)]]
+        for blob in frame.entries:
+            doc, place, h = unpacked_places(blob[1:], blob[:1] == b"a")
+            if blob[:1] == b"s":
+                done[0].append(doc)
+                done[1].append(place)
+            else:
+                for held, x in zip(parts, (h, doc, place)):
+                    held.append(x)
         h, doc, place = map(np.concatenate, parts)
         order = np.argsort(h)
         h, doc, place = h[order], doc[order], place[order]
-        start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        several = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
-        keep = np.repeat(several, np.diff(np.append(start, len(h))))
-        return pd.DataFrame({"doc_id": doc[keep], "place": place[keep]})
+        start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))[: len(h)]
+        if len(h):
+            several = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
+            keep = np.repeat(several, np.diff(np.append(start, len(h)))) & (place >= 0)
+            done[0].append(doc[keep])
+            done[1].append(place[keep])
+        return pd.DataFrame({"doc_id": np.concatenate(done[0]), "place": np.concatenate(done[1])})
 
     dealt = docs.select("doc_id", "text").mapInArrow(deal, "bucket int, entries binary")
     rows = dealt.groupBy("bucket").applyInPandas(shared, "doc_id long, place int")
@@ -309,9 +339,7 @@ def suffix_dedup(docs: DataFrame, depth: int = 50, digit: int = 24) -> DataFrame
     named = docs.where("doc_id IS NOT NULL")
     buckets = 4 * partitions(spark)
     body = F.coalesce("text", F.lit(""))
-    keyed = named.where(F.octet_length("text") >= depth).select("doc_id", F.md5("text").alias("k1"), F.octet_length("text").alias("k2"))
-    least = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
-    copies = stored(keyed.join(least, ["k1", "k2"]).where("doc_id > least").select("doc_id").distinct())
+    copies = equal_texts(named.where(F.octet_length("text") >= depth)).select("doc_id")
     places = first_digit(named.join(copies, "doc_id", "left_anti"), depth, digit, buckets)
     spans = further_digits(with_context(named.join(places, "doc_id"), depth, digit, buckets), depth, digit)
 
