@@ -14,7 +14,18 @@ from pyspark.sql import functions as F
 from lexmill.llm._text import chunks
 
 
+BATCH_BYTES = 2 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Holds Arrow batches to BATCH_BYTES, unless the session says otherwise, so rows of long texts do not fill a worker's memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def table(sf_dir: str, name: str, spark: SparkSession) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,6 +41,7 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """df as a table written in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_folder(spark)}/lexmill/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
