@@ -7,8 +7,9 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm._text import chunks
@@ -88,25 +89,43 @@ def equal_texts(docs: DataFrame) -> DataFrame:
 FILTER = 1 << 23
 
 
+def bit_map(ids: DataFrame) -> np.ndarray:
+    """FILTER bits as bytes, 1 MB whatever the size: set where an id (of ids) hashes to."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER)) + 1  # buckets are numbered from 1
+    rows = ids.select(F.bitmap_bucket_number(bit).alias("k"), F.bitmap_bit_position(bit).alias("at")).groupBy("k").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
+    maps = np.zeros((FILTER // 32768, 4096), np.uint8)
+    for r in rows:
+        maps[r.k - 1] = np.frombuffer(r.bits, np.uint8)
+    return maps.reshape(-1)
+
+
+def is_set(maps: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return ((maps[bit // 8] >> (bit % 8).astype(np.uint8)) & 1).astype(bool)
+
+
+def may_be_among(ids: DataFrame) -> Callable[[Column], Column]:
+    """A test of ids: False only for what is not among ids (id)."""
+    sent = ids.sparkSession.sparkContext.broadcast(bit_map(ids))
+
+    @F.pandas_udf("boolean")
+    def held(bit: pd.Series) -> pd.Series:
+        return pd.Series(is_set(sent.value, bit.to_numpy()))
+
+    return lambda c: held(F.pmod(F.xxhash64(c), F.lit(FILTER)))
+
+
 def carried(docs: DataFrame, ids: DataFrame, make: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
     """Rows (doc_id, carried) for ids (id): what `make` gives for each text.
 
     A bit map of 1 MB, whatever the size, keeps most other documents from being shuffled; the join drops the rest.
     """
-    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER))
-    rows = ids.select(F.bitmap_bucket_number(bit).alias("k"), F.bitmap_bit_position(bit).alias("at")).groupBy("k").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
-    maps = np.zeros((FILTER // 32768 + 1, 4096), np.uint8)
-    for r in rows:
-        maps[r.k - 1] = np.frombuffer(r.bits, np.uint8)  # buckets are numbered from 1, that of bit 0 is 0
-    sent = docs.sparkSession.sparkContext.broadcast(maps)
+    sent = docs.sparkSession.sparkContext.broadcast(bit_map(ids))
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
-    named = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.bitmap_bucket_number(bit).alias("k"), F.bitmap_bit_position(bit).alias("at"))
+    named = docs.where("doc_id IS NOT NULL").select("doc_id", "text", bit.alias("bit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = sent.value
         for batch in batches:
-            k, at = batch.column("k").to_numpy() - 1, batch.column("at").to_numpy()
-            keep = ((maps[k, at // 8] >> (at % 8).astype(np.uint8)) & 1).astype(bool)
+            keep = is_set(sent.value, batch.column("bit").to_numpy())
             for others, texts in chunks([batch.filter(pa.array(keep))]):
                 yield pa.RecordBatch.from_arrays([pa.array(others["doc_id"], pa.int64()), pa.array(make(texts), pa.binary())], ["doc_id", "carried"])
 
