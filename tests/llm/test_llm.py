@@ -108,6 +108,63 @@ def test_passages(docs, none, spark):
     assert kept[9].slot == "y" and kept[4].text is None
 
 
+def shingled(numbers):
+    return np.array([hash(tuple(numbers[k : k + 5])) & (2**63 - 1) for k in range(len(numbers) - 4)], np.uint64)
+
+
+def reaches(x, y, least):
+    """Places of y in any stretch from shared to shared shingle, or of `least`, that has a Jaccard of 0.8 with one of x."""
+    marked, px, py = np.zeros(len(y), bool), set(x.tolist()), set(y.tolist())
+    for s in range(len(y) - least + 1):
+        for t in range(s + least, len(y) + 1):
+            if t - s > least and not (int(y[s]) in px and int(y[t - 1]) in px):
+                continue
+            right = set(y[s:t].tolist())
+            if marked[s:t].all() or 100 * len(right & px) < 80 * len(right):
+                continue
+            for p in range(len(x) - least + 1):
+                if any(100 * len(right & left) >= 80 * len(right | left) for q in range(p + least, min(len(x), p + (t - s) * 5 // 4 + 1) + 1) for left in [set(x[p:q].tolist())]):
+                    marked[s:t] = True
+                    break
+    return marked
+
+
+def test_every_edit_is_verified():
+    for n in (50, 51, 55, 60, 72, 80, 97, 120):
+        plain = list(range(n))
+        for at in range(n):
+            for edited in (plain[:at] + [-1] + plain[at + 1 :], plain[:at] + [-1] + plain[at:], plain[:at] + plain[at + 1 :]):
+                x, y = shingled(plain), shingled(edited)
+                same, every = len(set(x.tolist()) & set(y.tolist())), len(set(x.tolist()) | set(y.tolist()))
+                if len(y) >= 46 and 100 * same >= 80 * every:  # the whole texts are near, so all of y is to be found but unshared ends
+                    found = passage_dedup.near_passages(x, y, 46, 80)
+                    assert found and max(t for _, t in found) - min(s for s, _ in found) >= len(y) - 5, (n, at)
+    for gap in (45, 60):  # a word changed every so many words
+        for shift in range(0, gap, 5):
+            plain = list(range(gap * 4))
+            edited = [-w - 1 if w % gap == shift else w for w in plain]
+            x, y = shingled([*range(-900, -860), *plain]), shingled([*edited, *range(-500, -470)])
+            found = passage_dedup.near_passages(x, y, 46, 80)
+            assert found and sum(t - s for s, t in found) >= gap * 3 - 5, (gap, shift)
+
+
+def test_verification_against_brute_force():
+    r = random.Random(8)
+    for case in range(12):
+        plain = list(range(58))
+        edited = list(plain)
+        for _ in range(case % 3 + 1):
+            at = r.randrange(len(edited))
+            edited[at : at + r.randint(0, 1)] = [1000 + r.randrange(99)] * r.randint(0, 1)
+        x, y = shingled([*range(200, 205), *plain]), shingled([*edited, *range(300, 304)])
+        got, want = np.zeros(len(y), bool), reaches(x, y, 46)
+        for s, t in passage_dedup.near_passages(x, y, 46, 80):
+            assert t - s >= 46
+            got[s:t] = True
+        shared = np.isin(y, x)
+        assert not (want & shared & ~got).any() and not (got & ~want).any(), case
+
+
 def test_windows_against_brute_force():
     r = np.random.default_rng(3)
     for n, least in ((60, 5), (200, 46), (46, 46), (30, 46)):
