@@ -2,7 +2,7 @@
 
 Method: every text is lower-cased (A-Z) and reduced to its words; one Aho-Corasick automaton finds
 all base phrases, further notice phrases and the identifier tag in one pass over those words. What
-follows an identifier tag on its line is parsed by a shunting-yard and its and/or/with expression is
+follows an identifier tag, to the next tag or the end of its line, is parsed by a shunting-yard and its and/or/with expression is
 evaluated for the freedom it leaves (and: least, or: most, with: a little more than without).
 
 Labels: base phrases give gpl, apache, cc-by and mit; further notices give notice:<name>; tags give
@@ -38,7 +38,8 @@ NOTICES = {
 TAG = "spdx license identifier"
 #: Fixed: all bytes but 0-9, a-z (A-Z become those) and non-ASCII ones separate words.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_TAGGED = re.compile(r"spdx[^0-9a-z\x80-\U0010ffff]+license[^0-9a-z\x80-\U0010ffff]+identifier\s*[:=]?[ \t]*([^\r\n]*)", re.I)
+_TAGGED = re.compile(r"spdx[^0-9a-z\x80-\U0010ffff]+license[^0-9a-z\x80-\U0010ffff]+identifier(?![0-9a-z\x80-\U0010ffff])\s*[:=]?[ \t]*", re.I)
+_LINE_END = re.compile(r"[\r\n]|$")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:\-]*")
 RANK = {"or": 1, "and": 2, "with": 3}
 _FREE, _WEAK, _STRONG = ("mit", "apache", "bsd", "isc", "cc0", "unlicense", "zlib", "0bsd", "cc-by-4", "cc-by-3"), ("lgpl", "mpl", "epl", "cddl"), ("gpl", "agpl", "cc-by-sa")
@@ -130,7 +131,10 @@ def scan(text: str | None, find) -> tuple:
             notices += 1
             labels.add(NOTICES[phrase])
     values = []
-    for rest in _TAGGED.findall(text) if tagged else ():
+    tags = list(_TAGGED.finditer(text)) if tagged else []
+    for tag, following in zip(tags, [*(t.start() for t in tags[1:]), len(text)] if tags else ()):
+        # to the next tag or the end of the line
+        rest = text[tag.end() : min(following, _LINE_END.search(text, tag.end()).start())]
         postfix = parse_expression(rest)
         if postfix is None:
             labels.add("spdx:malformed")

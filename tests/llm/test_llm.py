@@ -207,6 +207,16 @@ def test_license_scan(docs, none, spark):
     assert license_scan.license_scan(docs).count() == len(rows()) and license_scan.license_scan(none).count() == 0
 
 
+def test_every_tag_of_a_line():
+    find = license_scan.automaton().iter
+    tag = "SPDX-License-Identifier: "
+    for gap in (" ", " some words; ", " */ "):
+        row = license_scan.scan(f"a {tag}MIT{gap}{tag}GPL-2.0{gap}{tag}(Apache-2.0 OR X)", find)
+        assert row[5] == "spdx:apache-2.0,spdx:gpl-2.0,spdx:mit,spdx:x" and row[6] == 1 - 0.5**6 and row[7] == pytest.approx(2.3 / 3)
+    assert license_scan.scan(f"{tag}MIT\nAND GPL-2.0 {tag}ISC\r\nrest", find)[5] == "spdx:isc,spdx:mit"
+    assert license_scan.scan(f"{tag}{tag}MIT", find)[5] == "spdx:malformed,spdx:mit"
+
+
 @pytest.mark.parametrize("text,want", [("MIT", 1.0), ("MIT AND GPL-3.0", 0.3), ("MIT OR GPL-3.0", 1.0), ("GPL-2.0 OR MIT AND LGPL-2.1", 0.6), ("(GPL-2.0 OR MIT) AND LGPL-2.1", 0.6), ("GPL-2.0 WITH x", 0.4), ("AND MIT", None), ("MIT OR", None), ("(MIT", None), ("()", None), ("", None)])
 def test_expressions(text, want):
     postfix = license_scan.parse_expression(text)
