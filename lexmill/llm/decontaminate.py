@@ -12,16 +12,20 @@ document word inside any occurrence of a window is hit. Words are compared by 64
 
 The benchmark is read in blocks of at most `block_words` words, each broadcast by itself and searched
 by a pass over the documents, so what is broadcast is bounded; with one block nothing is shuffled.
+With more, the documents are stored once with a number for each row, and each pass's matches before
+the next block is broadcast. The benchmark passes through the driver, a block at a time.
 
 Cases: null and empty texts have no words and are never contaminated; items without words match
 nothing; an item without item_id hits words but is not listed; the same text under several item_ids
-lists them all; empty tables give no rows, or no hits; other columns are ignored. doc_id is a key.
+lists them all; empty tables give no rows, or no hits; other columns are ignored. Each row of
+documents gives a row, also those of null or repeated doc_id, however many blocks there are.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -124,13 +128,10 @@ def blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Bloc
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words: int = 2_000_000) -> DataFrame:
     """For each document its number of words, its hit places (pairs of first word and end, int64), its items, and the words of its longest match."""
-    spark, passes = docs.sparkSession, []
-    for block in blocks(benchmark, window, block_words):
-        if passes and not len(block.item):
-            continue
-        sent = spark.sparkContext.broadcast(block)
+    spark = docs.sparkSession
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+    def searched(rows: DataFrame, sent, keys: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = sent.value
             for others, texts in chunks(batches, size=1 << 20):
                 words = Words(texts, ALNUM)
@@ -152,16 +153,28 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words
                     places.append(np.stack([begin, begin + depth[a:b]], 1).astype(np.int64).tobytes())
                     items.append(sorted({block.ids[x] for x in block.item[suffix[a:b]]} - {None}))
                     longest.append(int(length[a:b].max()) if b > a else 0)
-                yield pa.RecordBatch.from_arrays([pa.array(others["doc_id"], pa.int64()), pa.array(np.diff(words.first)), pa.array(places, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.int64())], ["doc_id", "n_words", "places", "items", "longest"])
-
-        passes.append(docs.select("doc_id", "text").mapInArrow(run, FOUND))
-    if len(passes) == 1:
-        return passes[0]
-    every = passes[0]
-    for more in passes[1:]:
-        every = every.unionByName(more.where("longest > 0"))
-    # a document's places and items are bounded by its own words and matches
-    return every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.aggregate(F.collect_list("places"), F.lit(b""), lambda a, x: F.concat(a, x)).alias("places"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.max("longest").alias("longest"))
+                yield pa.RecordBatch.from_arrays([*(pa.array(others[k], pa.int64()) for k in others), pa.array(np.diff(words.first)), pa.array(places, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.int64())], [*others, "n_words", "places", "items", "longest"])
+
+        return rows.mapInArrow(run, keys + FOUND)
+
+    every = blocks(benchmark, window, block_words)
+    first = next(every)
+    second = next((block for block in every if len(block.item)), None)
+    if second is None:
+        return searched(docs.select("doc_id", "text"), spark.sparkContext.broadcast(first), "")
+    # a number for each row, the same in every pass: doc_id may be null or repeated
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
+    found = None
+    for block in chain((first, second), every):
+        if found is not None and not len(block.item):
+            continue
+        sent = spark.sparkContext.broadcast(block)
+        more = searched(rows, sent, "row long, ")
+        more = stored(more if found is None else more.where("longest > 0"))
+        sent.destroy()
+        found = more if found is None else found.unionByName(more)
+    # a row's places and items are bounded by its own words and matches
+    return found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.aggregate(F.collect_list("places"), F.lit(b""), lambda a, x: F.concat(a, x)).alias("places"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.max("longest").alias("longest")).drop("row")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_words: int = 2_000_000) -> DataFrame:

@@ -333,6 +333,15 @@ def test_decontaminate(spark, docs, none):
     assert sorted(r.doc_id for r in decontaminate.decontaminated(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()) == [4, 5, 6, 8]
 
 
+def test_decontaminate_rows_in_many_blocks(spark):
+    item, other = prose(50, 30), prose(51, 13)
+    bench = spark.createDataFrame([(1, item), (2, other), (3, prose(53, 40))], "item_id long, text string")
+    texts = [(None, prose(60, 100)), (None, item), (None, None), (None, prose(61, 500) + " " + other), (7, other), (7, other), (7, prose(62, 50)), (8, item + " " + other), (9, "")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    one, many = ([tuple(r) for r in decontaminate.contamination(frame, bench, block_words=n).collect()] for n in (2_000_000, 40))
+    assert len(one) == len(texts) and sorted(one, key=str) == sorted(many, key=str)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
