@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -31,23 +33,59 @@ def table(sf_dir: str, name: str, spark: SparkSession) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in tests one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="lexmill-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df as a table written in the shared folder: cuts the lineage and survives lost executors."""
+_scopes = threading.local()
+
+
+def stored(df: DataFrame, lasting: bool = False) -> DataFrame:
+    """df as a table written in the shared folder: cuts the lineage and survives lost executors.
+
+    Within `passing` the table goes at that scope's end; a lasting one goes at the end of the scope around it, if there is one.
+    """
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_folder(spark)}/lexmill/{uuid.uuid4().hex}"
+    scopes = getattr(_scopes, "held", [])
+    if len(scopes) > lasting:
+        scopes[-1 - lasting].append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing() -> Iterator[None]:
+    """A scope whose stored tables are deleted at its end."""
+    if not hasattr(_scopes, "held"):
+        _scopes.held = []
+    _scopes.held.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _scopes.held.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Column names like `names` that docs does not have."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -59,20 +97,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     labels once more (pointer jumping); labels only fall, and the loop ends when none falls. All work
     is joins and minima with map-side combination, so a node of very many neighbours is no bottleneck.
     """
-    spark = edges.sparkSession
-    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component_id")))
-    for _ in range(rounds):
-        near = both.join(labels, both.b == labels.id).groupBy(F.col("a").alias("id")).agg(F.min("component_id").alias("near"))
-        # what hangs on the same root learns the smallest label that any of them sees
-        seen = labels.join(near, "id").select("id", "component_id", F.least("near", "component_id").alias("low"))
-        root = seen.groupBy("component_id").agg(F.min("low").alias("low"))
-        hung = seen.drop("low").join(root, "component_id").select("id", F.col("component_id").alias("old"), F.col("low").alias("component_id"))
-        jump = labels.select(F.col("id").alias("component_id"), F.col("component_id").alias("next"))
-        new = stored(hung.join(jump, "component_id", "left").select("id", "old", F.least("component_id", "next").alias("component_id")))
-        labels = new.select("id", "component_id")
-        if new.where("old <> component_id").isEmpty():
-            return labels
+    with passing():
+        both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+        labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component_id")))
+        for _ in range(rounds):
+            near = both.join(labels, both.b == labels.id).groupBy(F.col("a").alias("id")).agg(F.min("component_id").alias("near"))
+            # what hangs on the same root learns the smallest label that any of them sees
+            seen = labels.join(near, "id").select("id", "component_id", F.least("near", "component_id").alias("low"))
+            root = seen.groupBy("component_id").agg(F.min("low").alias("low"))
+            hung = seen.drop("low").join(root, "component_id").select("id", F.col("component_id").alias("old"), F.col("low").alias("component_id"))
+            jump = labels.select(F.col("id").alias("component_id"), F.col("component_id").alias("next"))
+            new = stored(hung.join(jump, "component_id", "left").select("id", "old", F.least("component_id", "next").alias("component_id")))
+            labels = new.select("id", "component_id")
+            if new.where("old <> component_id").isEmpty():
+                return stored(labels, lasting=True)
     raise RuntimeError(f"components not settled after {rounds} rounds")
 
 
@@ -82,8 +120,9 @@ def equal_texts(docs: DataFrame) -> DataFrame:
     Groups are a table of their own before the join, so adaptive execution can split the partition of a group of very many copies.
     """
     keyed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.md5("text").alias("k1"), F.octet_length("text").alias("k2"))
-    groups = stored(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("of"), F.max("doc_id").alias("most")).where("of < most").drop("most"))
-    return stored(keyed.join(groups, ["k1", "k2"]).where("doc_id > of").select("doc_id", "of").distinct())
+    with passing():
+        groups = stored(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("of"), F.max("doc_id").alias("most")).where("of < most").drop("most"))
+        return stored(keyed.join(groups, ["k1", "k2"]).where("doc_id > of").select("doc_id", "of").distinct(), lasting=True)
 
 
 FILTER = 1 << 23
