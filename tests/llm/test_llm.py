@@ -1,8 +1,10 @@
 """The operators of lexmill.llm against brute force, on small tables with every odd case."""
 
 import hashlib
+import heapq
 import random
 import re
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -224,19 +226,43 @@ def test_expressions(text, want):
 
 
 def test_mixing(spark, docs, none):
-    many = spark.createDataFrame([(i, "s%d" % (0 if i % 3 == 0 else i % 7)) for i in range(4000)], "doc_id long, source string")
-    got = mixing.mix(many, {"s0": 5, "s1": 3, "s2": 1, "s3": 1, "s4": 0}, block=4, slots=100).toPandas()
-    assert len(got) == 4000 and got[got.source.isin(["s4", "s5", "s6"])].slot.isna().all()
+    many = spark.createDataFrame([(i, "s%d" % (0 if i % 3 == 0 else i % 7), 1, 2) for i in range(4000)], "doc_id long, source string, __key long, SLOT int")
+    weights = {"s0": 0.4871, "s1": Fraction(1, 3), "s2": "0.07", "s3": 1e-3, "s4": 0, "s5": -1}
+    got = mixing.mix(many, weights, block=4).toPandas()
+    assert len(got) == 4000 and got[got.source.isin(["s4", "s5", "s6"])].slot.isna().all() and set(got.columns) == {"doc_id", "source", "__key", *mixing.ADDED}
     placed = got[got.slot.notna()]
     assert placed.position.is_unique and placed.groupby("slot").source.nunique().max() == 1
-    assert ((placed.slot >= placed.release) & (placed.slot < placed.deadline)).all()
     within = placed[placed.within_target]
-    share = placed.groupby("source").units.first() / 100
+    assert ((within.slot >= within.release) & (within.slot < within.deadline)).all() and (within.slot.max() < placed[~placed.within_target].slot).all()
+    assert within.slot.nunique() == within.slot.max() + 1
+    total = sum(Fraction(str(w)) for w in weights.values() if Fraction(str(w)) > 0)
     by_slot = within.groupby("slot").source.first().sort_index()
-    for s, w in share.items():
-        done = (by_slot == s).cumsum().to_numpy()
-        assert (np.abs(done - w * np.arange(1, len(done) + 1)) < 1).all()
-    assert mixing.mix(docs).count() == len(rows()) and mixing.mix(none).count() == 0
+    for s, w in weights.items():
+        done = (by_slot == s).cumsum().tolist()
+        assert all(abs(n - max(Fraction(str(w)), 0) / total * (t + 1)) < 1 for t, n in enumerate(done))
+    assert mixing.mix(docs).count() == len(rows()) and mixing.mix(none).count() == 0 and mixing.mix(docs, {}).where("slot IS NULL").count() == len(rows())
+
+
+@pytest.mark.parametrize("weights", [[5003, 3001, 1999, 7, 1], [10**9 + 7, 10**9 + 7, 10**6], [3] * 40 + [1] * 70])
+def test_mixing_windows_are_one_schedule(spark, weights):
+    """Against earliest deadline first in one go, over many windows."""
+    p, blocks = sum(weights), [w * 20_000 // sum(weights) + 50 for w in weights]
+    ran, one = mixing.schedule(spark.createDataFrame([(f"s{i:03}", 4 * n, w) for i, (n, w) in enumerate(zip(blocks, weights))], "key string, n long, w long"), 4)
+    got = [(r.key, r.block_no) for r in ran.orderBy("slot").collect()]
+    ready, wait, want = [], [(0, j, 0) for j in range(len(weights))], []
+    for t in range(len(got)):
+        while wait and wait[0][0] <= t:
+            _, j, k = heapq.heappop(wait)
+            heapq.heappush(ready, (-(-(k + 1) * p // weights[j]), j, k))
+        due, j, k = heapq.heappop(ready)
+        assert t < due
+        want.append((f"s{j:03}", k))
+        heapq.heappush(wait, ((k + 1) * p // weights[j], j, k + 1))
+    assert got == want and want[one.collect()[0].horizon][1] == blocks[int(want[one.collect()[0].horizon][0][1:])]
+    done = np.zeros(len(weights))
+    for t, (s, _) in enumerate(got):
+        done[int(s[1:])] += 1
+        assert (np.abs(done - np.array(weights) / p * (t + 1)) < 1 + 1e-9).all()
 
 
 def test_mixing_sql(spark, tmp_path):
