@@ -1,16 +1,23 @@
 """Language identification by bit-sliced Bloom filters of character n-grams.
 
-Method: letters of the lower-cased text, runs of anything else being one space, give 3-grams. Of the
-training documents' 3-grams (counted over all of them) each language keeps those that make up at
-least `share` of its own, so at most 1 / share. One array of bit masks, a bit for each language,
-holds all filters at once: AND over a gram's few slots gives all languages that contain it. A
-language's popcount over a text's grams, corrected for its filter's false positives,
-(hits / n - f) / (1 - f), is its estimate; the largest decides, ties go to the language that has
-more training grams, then by name. score is that estimate, held to 0..1.
+Method: letters of the lower-cased text, runs of anything else being one space, give 3-grams. All
+3-grams of a language's training documents enter its filter, and those that make up at least a given
+share of its own enter a filter more for each of `shares`: what stray text of other languages brings
+into the first is rare, and so stays out of the others. One array of bit masks, a bit for each filter
+of a language, holds all of them at once: AND over a gram's few slots gives all languages that contain
+it, and how usual it is there. A filter's popcount over a text's grams, corrected for its false
+positives, is (hits / n - f) / (1 - f); the mean over a language's filters is its estimate; the largest
+decides, ties go to the language that has more training grams, then by name. score is that estimate,
+held to 0..1.
+
+Tasks make the filters' bits and Spark joins them, so no gram comes to the driver. The slots are a
+power of two, `ROOM` to twice that for each different gram of the richest language; what is broadcast
+is slots x filters / 8 bytes, rounded up to 1, 2 or a multiple of 8 bytes a slot. More than 2**28 slots
+(some 17 m different 3-grams in one language, which has letters for far fewer) raise ValueError.
 
 Cases: null text or text without a letter gives `und` and score 0; with nothing to learn from, all
 rows are `und`; very long texts are used whole; repeated rows each get a row; an empty table gives no
-rows; other columns are ignored. More than 64 languages raise ValueError.
+rows; other columns are ignored. Any number of languages.
 """
 
 from __future__ import annotations
@@ -22,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm._spark import stored, table
+from lexmill.llm._spark import fresh, passing, stored, table
 from lexmill.llm._text import chunks, mix
 
-SLOTS, HASHES = 1 << 20, 4
+HASHES, ROOM, PIECE = 4, 8, 32768
+SHARES = (1e-4,)
 _letters: list[np.ndarray] = []
 
 
@@ -54,44 +62,66 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out[inner], np.searchsorted(inner, new)
 
 
-def slots(values: np.ndarray) -> Iterator[np.ndarray]:
+def slots(values: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """The places of each gram in a filter of `size` slots, a power of two."""
     h = mix(values)
+    step = mix(h) | np.uint64(1)
     for k in range(HASHES):
-        yield ((h >> np.uint64(k * 11)) ^ (h << np.uint64(7 * k))) & np.uint64(SLOTS - 1)
+        yield (h + np.uint64(k) * step) & np.uint64(size - 1)
 
 
-def learn(train: DataFrame, share: float = 1e-5) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages (most grams first), bit masks, and false-positive rates. train: (text, lang)."""
+def learn(train: DataFrame, shares: tuple[float, ...] = SHARES) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages (most grams first), bit masks (a row for each 64 filters), and false-positive rates by language and filter. train: (text, lang)."""
+    levels = 1 + len(shares)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for others, texts in chunks(batches, size=1 << 20):
-            for lang in sorted(set(others["lang"])):
-                found, n = np.unique(grams([t for t, x in zip(texts, others["lang"]) if x == lang])[0], return_counts=True)
+            by_lang: dict[str, list[bytes]] = {}
+            for lang, text in zip(others["lang"], texts):
+                by_lang.setdefault(lang, []).append(text)
+            for lang, own in by_lang.items():
+                found, n = np.unique(grams(own)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(found.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    sums = stored(train.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    total = sums.groupBy("lang").agg(F.sum("n").alias("total"))
-    found = sums.join(F.broadcast(total.limit(65)), "lang").where(F.col("n") >= share * F.col("total")).toPandas()
-    sizes = found.groupby("lang").total.first()
-    if len(sizes) > 64:
-        raise ValueError("more than 64 languages")
-    names = sorted(sizes.index, key=lambda x: (-sizes[x], x))
-    kind = np.uint8 if len(names) <= 8 else np.uint16 if len(names) <= 16 else np.uint64
-    masks = np.zeros(SLOTS, kind)
-    for i, name in enumerate(names):
-        for at in slots(found.gram[found.lang == name].to_numpy(np.int64).astype(np.uint64)):
-            masks[at] |= kind(1 << i)
-    rates = np.array([np.mean((masks >> kind(i)) & kind(1)) ** HASHES for i in range(len(names))])
-    return names, masks, rates
+    with passing():
+        sums = stored(train.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+        sizes = {r.lang: (r.total, r.grams) for r in sums.groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("grams")).collect()}
+        names = sorted(sizes, key=lambda x: (-sizes[x][0], x))
+        size = max(PIECE, 1 << (ROOM * max((n for _, n in sizes.values()), default=0)).bit_length())
+        if size > 1 << 28:
+            raise ValueError("too many different 3-grams in one language")
+
+        number = {name: i for i, name in enumerate(names)}
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lang = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)
+                part = batch.column("n").to_numpy() / np.array([sizes[name][0] for name in names], float)[lang]
+                at = np.stack(list(slots(batch.column("gram").to_numpy().astype(np.uint64), size)), 1).astype(np.int64)
+                rows = [(np.repeat(lang[on] * levels + k, HASHES), at[on].reshape(-1)) for k, share in enumerate((0.0, *shares)) for on in [part >= share]]
+                filters, at = (np.concatenate(x) for x in zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array(filters), pa.array(at // PIECE), pa.array(at % PIECE)], ["filter", "piece", "at"])
+
+        many = len(names) * levels
+        kind = np.uint8 if many <= 8 else np.uint16 if many <= 16 else np.uint64
+        width = kind(0).nbytes * 8
+        masks = np.zeros((max(1, -(-many // width)), size), kind)
+        held = np.zeros(many)
+        for r in sums.mapInArrow(place, "filter long, piece long, at long").groupBy("filter", "piece").agg(F.bitmap_construct_agg("at").alias("bits")).toLocalIterator():
+            word, bit = divmod(r["filter"], width)
+            bits = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")
+            held[r["filter"]] += bits.sum()
+            masks[word, r.piece * PIECE : (r.piece + 1) * PIECE] |= bits.astype(kind) << kind(bit)
+    return names, masks, ((held / size) ** HASHES).reshape(-1, levels)
 
 
 def held_out(modulus: int, remainder: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder
 
 
-def language_id(docs: DataFrame, train: DataFrame, share: float = 1e-5) -> DataFrame:
+def language_id(docs: DataFrame, train: DataFrame, shares: tuple[float, ...] = SHARES) -> DataFrame:
     """Rows (doc_id, lang_pred, score) for docs (doc_id, text); learns from train (text, lang)."""
-    names, masks, rates = learn(train.where("lang IS NOT NULL AND text IS NOT NULL"), share)
+    names, masks, rates = learn(train.where("lang IS NOT NULL AND text IS NOT NULL"), shares)
     model = docs.sparkSession.sparkContext.broadcast((names, masks, rates))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,11 +133,16 @@ def language_id(docs: DataFrame, train: DataFrame, share: float = 1e-5) -> DataF
             n = np.diff(begin)
             some = np.flatnonzero(n) if names else []
             if len(some):
-                mask = None
-                for at in slots(found):
-                    mask = masks[at] if mask is None else mask & masks[at]
-                hits = np.stack([np.add.reduceat((mask >> mask.dtype.type(i)) & mask.dtype.type(1), begin[:-1][some], dtype=np.int64) for i in range(len(names))])
-                estimate = (hits / n[some] - rates[:, None]) / (1 - np.minimum(rates, 0.999999))[:, None]
+                at, width = list(slots(found, masks.shape[1])), masks.dtype.itemsize * 8
+                hits = np.zeros((rates.size, len(some)), np.int64)
+                for word, filters in enumerate(masks):
+                    mask = filters[at[0]]
+                    for more in at[1:]:
+                        mask &= filters[more]
+                    for bit in range(min(width, len(hits) - word * width)):
+                        hits[word * width + bit] = np.add.reduceat((mask >> mask.dtype.type(bit)) & mask.dtype.type(1), begin[:-1][some], dtype=np.int64)
+                wrong = np.minimum(rates, 0.999999).reshape(-1, 1)
+                estimate = ((hits / n[some] - wrong) / (1 - wrong)).reshape(*rates.shape, -1).mean(1)
                 best = estimate.argmax(0)
                 score[some] = np.clip(estimate.max(0), 0, 1)
                 for i, b in zip(some, best):
@@ -119,12 +154,13 @@ def language_id(docs: DataFrame, train: DataFrame, share: float = 1e-5) -> DataF
 
 def recognised(docs: DataFrame, train: DataFrame, least: float = 0.6) -> DataFrame:
     """docs, with all their columns, without those that are `und` or whose score is under `least`; a null lang gets the prediction."""
-    found = stored(language_id(docs.where("doc_id IS NOT NULL"), train).dropDuplicates(["doc_id"]))
-    bad = found.where((F.col("lang_pred") == "und") | (F.col("score") < least)).select(F.col("doc_id").alias("__id"))
-    kept = docs.join(stored(bad), docs.doc_id == F.col("__id"), "left_anti")
+    id_, lang_ = fresh(docs, "__id", "__lang")
+    found = stored(language_id(docs.where("doc_id IS NOT NULL"), train).dropDuplicates(["doc_id"]), lasting=True)
+    bad = found.where((F.col("lang_pred") == "und") | (F.col("score") < least)).select(F.col("doc_id").alias(id_))
+    kept = docs.join(stored(bad, lasting=True), docs.doc_id == F.col(id_), "left_anti")
     if "lang" not in docs.columns:
         return kept
-    missing = kept.where("lang IS NULL").join(found.select(F.col("doc_id").alias("__id"), "lang_pred"), F.col("doc_id") == F.col("__id"), "left").withColumn("lang", F.col("lang_pred").cast(docs.schema["lang"].dataType))
+    missing = kept.where("lang IS NULL").join(found.select(F.col("doc_id").alias(id_), F.col("lang_pred").alias(lang_)), F.col("doc_id") == F.col(id_), "left").withColumn("lang", F.col(lang_).cast(docs.schema["lang"].dataType))
     return kept.where("lang IS NOT NULL").unionByName(missing.select(*docs.columns))
 
 

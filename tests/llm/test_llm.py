@@ -335,6 +335,42 @@ def test_language(spark, docs, none):
     assert {r.lang_pred for r in language_id.language_id(docs, train.where("false")).collect()} == {"und"} and language_id.language_id(none, train).count() == 0
 
 
+def test_language_filters_hold_the_exact_sets(spark):
+    """More than 64 languages; bits against sets of grams; ties go to the language of more grams, then by name."""
+    r = random.Random(4)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 300)]
+    texts = {f"l{k:02}": "".join(r.choice(letters[3 * k : 3 * k + 9]) for _ in range(400)) for k in range(90)}
+    texts |= {"same_b": "zyzyzy zyzy", "same_a": "zyzyzy zyzy", "rich": "qrs qrs qrs", "poor": "qrs qrs"}
+    train = spark.createDataFrame([(t, k) for k, t in texts.items()], "text string, lang string")
+    names, masks, rates = language_id.learn(train, (0.01,))
+    assert set(names) == set(texts) and rates.shape == (len(names), 2)
+    every = np.unique(language_id.grams([t.encode() for t in texts.values()])[0])
+    at = list(language_id.slots(every, masks.shape[1]))
+    wrong = 0
+    for i, name in enumerate(names):
+        found, n = np.unique(language_id.grams([texts[name].encode()])[0], return_counts=True)
+        for level, want in enumerate((found, found[n >= 0.01 * n.sum()])):
+            word, bit = divmod(2 * i + level, 64)
+            inside = np.logical_and.reduce([(masks[word][x] >> np.uint64(bit)) & np.uint64(1) for x in at])
+            assert inside[np.isin(every, want)].all()
+            wrong += int(inside.sum()) - len(want)
+    assert wrong <= 5
+    test = spark.createDataFrame([(1, "zyzy"), (2, "qrs"), *((10 + k, texts[f"l{k:02}"][50:90]) for k in range(90)), (1, "zyzy")], "doc_id long, text string")
+    got = [(x.doc_id, x.lang_pred) for x in language_id.language_id(test, train).collect()]
+    assert got.count((1, "same_a")) == 2 and (2, "rich") in got and all((10 + k, f"l{k:02}") in got for k in range(90))
+
+
+def test_recognised_keeps_columns(spark):
+    kinds = {"xx": "an the of er in".split(), "yy": "zu kö ßa mi or".split()}
+    data = [(i, prose(i, 60, kinds[k]), k if i % 5 else None, 1, 2) for i, k in enumerate(list(kinds) * 20)] + [(None, prose(1, 9), None, 3, 4), (0, prose(0, 60, kinds["xx"]), None, 5, 6), (90, "123", "xx", 7, 8)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, __id int, LANG_PRED int")
+    got = language_id.recognised(docs, docs)
+    assert got.columns == docs.columns
+    rows_ = got.collect()
+    assert len(rows_) == len(data) - 1 and sorted(r.LANG_PRED for r in rows_) == [2] * 40 + [4, 6]
+    assert all(r.lang == list(kinds)[r.doc_id % 2] for r in rows_ if r.doc_id is not None)
+
+
 def test_decontaminate(spark, docs, none):
     items = [(1, prose(50, 30)), (2, prose(51, 13)), (3, "short item here"), (4, None), (5, ""), (None, prose(52, 20)), (6, prose(51, 13)), (10, prose(53, 40))]
     texts = [(1, prose(60, 100) + " " + items[0][1] + " " + prose(61, 50)), (2, "A SHORT, item -- here!"), (3, items[1][1].upper()), (4, None), (5, ""), (6, prose(62, 2000) + " " + " ".join(items[7][1].split()[5:25])), (7, items[5][1]), (8, prose(63, 200)), (9, items[0][1] + " " + items[0][1])]
