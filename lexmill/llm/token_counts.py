@@ -4,8 +4,10 @@ Method: map-side two-tier lookup. A first pass counts pre-tokens over all docume
 Misra-Gries summaries (one per task) and sums those; the most frequent pre-tokens get their length
 from the tokenizer once and are broadcast as a compact hash table of at most `table_size` entries.
 The second pass cuts every text into pre-tokens and adds up lengths from that table; misses are
-encoded by the tokenizer and kept in a bounded cache of the worker. No pre-token is ever shuffled,
-only the bounded summaries are. The table's content affects speed alone, never a count.
+encoded by the tokenizer and kept in a bounded cache of the worker. Pre-tokens never span white space, so
+of a text with characters beyond the plain ones only the runs that hold them are cut by the tokenizer;
+such a run's length is kept in the cache like a pre-token's. No pre-token is ever shuffled, only the
+bounded summaries are. The table's content affects speed alone, never a count.
 
 Cases: null and empty texts have 0 bytes and 0 tokens; very long texts are cut whole; repeated rows
 each get a row; an empty table gives no rows; other columns of the input are ignored.
@@ -24,9 +26,10 @@ from pyspark.sql import functions as F
 
 from lexmill.llm._spark import table
 
-#: Texts of these characters only are cut here: there lower-casing and composition are the same everywhere. Others go to the tokenizer whole.
-PLAIN = re.compile(r"[\x00-\x1b\x20-\x84\x86-\u02ff]*")
-_PLAIN = [chr(c) for c in range(0x300)]
+#: Runs of these characters only are cut here: lower-casing stays among them, and that and composition are the same everywhere. Other runs go to the tokenizer.
+_PLAIN = [c for c in map(chr, range(0x300)) if c not in "\x1c\x1d\x1e\x1f\x85" and ord(max(c.lower())) < 0x300]
+PLAIN = re.compile(f"[{re.escape(''.join(_PLAIN))}]*")
+SPACE = re.compile(r"[ \t\n\r]+")
 _L, _N = ("".join(re.escape(c) for c in _PLAIN if unicodedata.category(c)[0] == kind) for kind in "LN")
 #: The pre-token pattern of the vocabulary file (fixed), its classes spelled out over the plain characters.
 CUT = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
@@ -57,21 +60,28 @@ class TokenCounter:
     def encoded(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False))
 
-    def learn(self, words: list[str]) -> None:
-        """Second tier: the lengths of new pre-tokens, from the merges of the tokenizer's model."""
-        new = list(set(words).difference(self.known))
-        if new:
-            if len(self.known) + len(new) > len(self.frequent) + CACHE:
+    def learn(self, words: list[str], runs: list[str]) -> None:
+        """Second tier: the lengths of new pre-tokens, from the merges of the tokenizer's model, and of new runs with other characters, from the tokenizer."""
+        new, foreign = set(words).difference(self.known), set(runs).difference(self.known)
+        if new or foreign:
+            if len(self.known) + len(new) + len(foreign) > len(self.frequent) + CACHE:
                 self.known = dict(self.frequent)
-                new = list(set(words).difference(self.known))
+                new, foreign = set(words).difference(self.known), set(runs)
             self.known.update({w: len(self.merges(w.translate(self.bytes))) for w in new})
+            self.known.update({w: self.encoded(w) for w in foreign})
 
     def count(self, text: str) -> int:
-        if not PLAIN.fullmatch(text) or any(s in text for s in self.special):
+        if any(s in text for s in self.special):
             return self.encoded(text)
+        runs: list[str] = []
+        if not PLAIN.fullmatch(text):
+            plain = []
+            for run in SPACE.split(text):
+                (plain if PLAIN.fullmatch(run) else runs).append(run)
+            text = " ".join(plain)
         words = self.cut(text.lower())
-        self.learn(words)
-        return sum(map(self.known.__getitem__, words))
+        self.learn(words, runs)
+        return sum(map(self.known.__getitem__, words)) + sum(map(self.known.__getitem__, runs))
 
 
 def frequent_words(docs: DataFrame, table_size: int, summary: int) -> dict[str, int]:

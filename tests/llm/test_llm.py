@@ -94,6 +94,18 @@ def test_token_counter_is_the_library(text):
     assert counter.count(text) == counter.encoded(text)
 
 
+@pytest.mark.parametrize("context", ["{}", "a{}b", "A{}A", "it'{} 1{}2"])
+def test_every_code_point_counts_as_in_the_library(context):
+    counter = token_counts.TokenCounter(token_counts.vocabulary_path(), {})
+    for c in [c for c in range(0x300) if chr(c).isprintable() or c < 32] + [0x1E9E, 0x2019, 0x2014, 0x3A3, 0x65E5, 0x1F600]:
+        text = context.format(chr(c), chr(c))
+        assert counter.count(text) == counter.encoded(text), hex(c)
+    points = [c for c in (*range(0x32000), *range(0xE0000, 0xE0200)) if not 0xD800 <= c < 0xE000]  # all that are assigned
+    for k in range(0, len(points), 4096):
+        text = " ".join(context.format(chr(c), chr(c)) for c in points[k : k + 4096])
+        assert counter.count(text) == counter.encoded(text), hex(points[k])
+
+
 def test_passages(docs, none, spark):
     got = {r.doc_id: r for r in passage_dedup.passage_report(docs).collect() if r.doc_id is not None}
     assert got[2].n_repeated == got[2].n_words == 120 and got[2].repeats == 1  # an equal text
