@@ -1,23 +1,30 @@
 """Exact Jaccard self-join of documents' word shingles, in regions around pivots.
 
-Method: a metric-space join. The pivots are the shingles themselves: under a global order of
-shingles, rarest first, the distance window of threshold t says how far a document must be copied -
-two sets of Jaccard t or more share one of the first n - ceil(t n) + 1 shingles of each - so each
-document goes to the regions of those leading shingles, and to no others. (Whole documents as pivots
-are no use here: unrelated documents are at distance 1 from every pivot and from each other, so every
-triangle-inequality window would copy every document to every region. See the README.) Within
-regions, triangle inequality over pivots prunes exactly: the universe of shingles is dealt into 32
-cells, |x and cell| is x's distance to a pivot up to a constant, and two sets that differ in the cells'
-sizes by more than t allows cannot link.
-
-A pair is looked at where its first common shingle can be: so many of both sets' shingles must not come
-before it that the threshold can still be met.
-
-Regions join recursively: first every region links its documents to its smallest (a star, so a group
-of thousands of near copies makes no squared number of pairs); candidates are verified on whole sets
-and joined into components; then only documents of one region that are still in different components
-are paired, filtered, verified and joined again. What is then unlinked has been compared, or cannot
-link; so components are exact (up to 64-bit fingerprints of shingles, 48-bit ones in the overlap).
+Method: a metric-space join in regions around pivots, recursively.
+
+ 1. At the top the pivots are single shingles. Under a global order of shingles, rarest first, two sets
+    of Jaccard t or more share one of the first n - ceil(t n) + 1 shingles of each; so each document goes
+    to the regions of those leading shingles and to no others. (Whole documents do not serve as pivots
+    there: unrelated ones are at distance 1 from each other and from all pivots, so no
+    triangle-inequality window leaves any region out, and each document would go to all. The README
+    gives figures.) Every region links its documents to its smallest if they can link: a star, so a group
+    of thousands of near copies makes no squared number of pairs. A pair is looked at where its first
+    common shingle can be: so many of both sets' shingles must not come before it that the threshold can
+    still be met. Candidates are verified on whole sets and joined to components.
+ 2. A region whose documents are all in one component is done. Another one of more than `leaf` documents
+    is divided by pivots of its own, documents of different components: each document belongs to the
+    Voronoi cell of the pivot nearest by Jaccard distance, and is copied to each other cell that the
+    triangle inequality leaves open, those whose pivot is no more than 2 (1 - t) farther than its own:
+    two sets that link are both in the own cell of either. Cells divide again until they are small, of
+    one component, or no smaller than their region by much.
+ 3. In what is left, documents of different components are paired, those first that belong to the cell.
+    Large cells are paired in blocks, so no task holds one. The universe of shingles is dealt into 32
+    parts, |x and part| is x's distance to a pivot up to a constant, and two sets that differ in the
+    parts' sizes by more than t allows cannot link; the others are verified on whole sets.
+
+What is then unlinked has been compared, or cannot link; so components are exact (up to 64-bit
+fingerprints of shingles, 48-bit ones in the overlap). Shingles that `hot` documents or more have, by the
+counts of the order, are dealt as rows instead of by bucket, so a region of any size is spread.
 
 Documents of equal sets are one node, named by the smallest doc_id. The order comes from a sketch of
 counts over all documents (2**22 cells, 4 MB as broadcast logarithms); any order gives right results.
@@ -39,11 +46,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm._spark import carried, components, partitions, stored, table
+from lexmill.llm._spark import carried, components, fresh, partitions, passing, stored, table
 from lexmill.llm._text import SPACED, Words, chunks, mix, shingles
 
 SKETCH, PARTS, CELLS = 1 << 22, 64, 32
 CHUNK = 4096
+PIVOTS, BLOCK, ROUNDS, SALT = 8, 1024, 8, 16
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -95,29 +103,30 @@ def order_levels(docs: DataFrame, size: int) -> np.ndarray:
     return levels.reshape(-1)
 
 
-def leading_shingles(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Rows (doc_id, n, f1, f2, lead, cells): set size, fingerprints of the set, leading shingles, sizes in the cells."""
+def leading_shingles(docs: DataFrame, size: int, percent: int, hot: int) -> DataFrame:
+    """Rows (doc_id, n, f1, f2, lead, common, cells): set size, fingerprints of the set, leading shingles, which of them some `hot` documents have, sizes in the cells."""
     levels = docs.sparkSession.sparkContext.broadcast(order_levels(docs, size))
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = levels.value
+        level, most = levels.value, 2 * np.log2(1.0 + hot)
         for others, texts in chunks(batches):
             rows = []
             for s in sets(texts, size):
                 n = len(s)
                 first = n - (percent * n + 99) // 100 + 1 if n else 0
-                order = np.lexsort((s, level[(s & np.uint64(SKETCH - 1)).astype(np.int64)]))[:first]
+                own = level[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
+                order = np.lexsort((s, own))[:first]
                 m = mix(s + np.uint64(12345))
                 cells = np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % CELLS, minlength=CELLS), 65535).astype(np.uint16)
-                rows.append((n, int(m.sum(dtype=np.uint64).view(np.int64)) if n else 0, int(np.bitwise_xor.reduce(mix(m)).view(np.int64)) if n else 0, s[order].tobytes(), cells.tobytes()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(others["doc_id"], pa.int64()), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["doc_id", "n", "f1", "f2", "lead", "cells"])
+                rows.append((n, int(m.sum(dtype=np.uint64).view(np.int64)) if n else 0, int(np.bitwise_xor.reduce(mix(m)).view(np.int64)) if n else 0, s[order].tobytes(), (own[order] >= most).tobytes(), cells.tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(others["doc_id"], pa.int64()), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["doc_id", "n", "f1", "f2", "lead", "common", "cells"])
 
-    return docs.select("doc_id", "text").mapInArrow(lead, "doc_id long, n long, f1 long, f2 long, lead binary, cells binary")
+    return docs.select("doc_id", "text").mapInArrow(lead, "doc_id long, n long, f1 long, f2 long, lead binary, common binary, cells binary")
 
 
 def dealt(nodes: DataFrame, buckets: int) -> DataFrame:
-    """Entries (shingle, doc, n, rest) of the leading shingles in compressed columns, by bucket; rest: how many shingles of the set do not come before it."""
+    """Entries (shingle, doc, n, rest) of the leading shingles that are not common, in compressed columns, by bucket; rest: how many shingles of the set do not come before it."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
@@ -125,6 +134,8 @@ def dealt(nodes: DataFrame, buckets: int) -> DataFrame:
             many = [len(x) for x in leads]
             doc, n = np.repeat(np.array(ids, np.int64), many), np.repeat(np.array(sizes, np.int64), many)
             rest = n - np.concatenate([np.arange(k) for k in many])
+            rare = np.frombuffer(b"".join(marks), np.uint8) == 0
+            lead, doc, n, rest = lead[rare], doc[rare], n[rare], rest[rare]
             to = (mix(lead) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             cut = np.searchsorted(to[order], np.arange(buckets + 1))
@@ -134,20 +145,38 @@ def dealt(nodes: DataFrame, buckets: int) -> DataFrame:
                 out.append((int(b), zstandard.ZstdCompressor(1).compress(lead[o].tobytes() + np.diff(doc[o], prepend=0).tobytes() + n[o].astype(np.uint32).tobytes() + rest[o].astype(np.uint32).tobytes())))
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["bucket", "entries"])
 
-        leads, ids, sizes, held = [], [], [], 0
+        leads, ids, sizes, marks, held = [], [], [], [], 0
         for batch in batches:
-            for d, n, x in zip(batch.column("doc_id").to_pylist(), batch.column("n").to_pylist(), batch.column("lead").to_pylist()):
+            for d, n, x, common in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "lead", "common"))):
                 leads.append(np.frombuffer(x, np.uint64))
+                marks.append(common)
                 ids.append(d)
                 sizes.append(n)
                 held += len(leads[-1])
-                if held >= 1_000_000:
+                if held >= 300_000:
                     yield flush()
-                    leads, ids, sizes, held = [], [], [], 0
+                    leads, ids, sizes, marks, held = [], [], [], [], 0
         if held:
             yield flush()
 
-    return nodes.select("doc_id", "n", "lead").mapInArrow(deal, "bucket int, entries binary")
+    return nodes.select("doc_id", "n", "lead", "common").mapInArrow(deal, "bucket int, entries binary")
+
+
+def common_entries(nodes: DataFrame) -> DataFrame:
+    """Rows (shingle, id, n, rest) of the leading shingles that are common."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [])
+            for d, n, lead, common in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "lead", "common"))):
+                at = np.flatnonzero(np.frombuffer(common, np.uint8))
+                if len(at):
+                    for held, x in zip(out, (np.frombuffer(lead, np.int64)[at], np.full(len(at), d), np.full(len(at), n), n - at)):
+                        held.append(x)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["shingle", "id", "n", "rest"])
+
+    return nodes.select("doc_id", "n", "lead", "common").mapInArrow(deal, "shingle long, id long, n long, rest long")
 
 
 def entries(blobs) -> tuple[np.ndarray, ...]:
@@ -194,12 +223,13 @@ def joined_regions(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.concat([out, pd.DataFrame(rows, columns=["a", "b", "docs", "sizes", "rests"])], ignore_index=True)
 
 
+def member_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """Rows (id, members): the packed sets of documents, with 48 bits of each shingle's fingerprint."""
+    return carried(docs, stored(ids.distinct()), lambda texts: [packed(np.unique(s >> np.uint64(16))) for s in sets(texts, size)]).toDF("id", "members")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Of pairs (a, b) those whose sets' Jaccard is percent / 100 or more."""
-    ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-    found = stored(carried(docs, ids, lambda texts: [packed(np.unique(s >> np.uint64(16))) for s in sets(texts, size)]).withColumnRenamed("carried", "members"))
-    left, right = found.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), found.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
-
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, last, x = [], None, None
@@ -211,31 +241,79 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
+    with passing():
+        pairs = stored(pairs)
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+        found = stored(member_sets(docs, ids, size))
+        left, right = found.toDF("a", "x"), found.toDF("b", "y")
+        # by a at last, so that the centre of a star is read once for all its pairs
+        return stored(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(test, "a long, b long"), lasting=True)
 
 
-def linked(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
+def cells(large: DataFrame, members: DataFrame, percent: int, level: int) -> DataFrame:
+    """Regions `large` (region, id, n, rest, c, own, docs) in the Voronoi cells of pivots of their own, by the sets of `members`; docs becomes the size of the region divided."""
+    reach = 2 * (100 - percent) / 100 + 1e-9
+    one = F.min(F.struct(F.xxhash64("id", F.lit(level)), "id")).getField("id")
+    pivots = large.groupBy("region", F.pmod(F.xxhash64("c", F.lit(level)), F.lit(PIVOTS)).alias("way")).agg(one.alias("id")).join(members, "id").groupBy("region").agg(F.collect_list(F.struct("id", "members")).alias("pivots"))
+    pivots = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, names, around = None, None, []
+        for batch in batches:
+            own, at, to = batch.column("own").to_numpy(zero_copy_only=False), [], []
+            stay = []
+            for row, (region, blob, pivots) in enumerate(zip(batch.column("region").to_pylist(), batch.column("members").to_pylist(), batch.column("pivots"))):
+                if region != last:
+                    last, found = region, sorted(pivots.as_py(), key=lambda p: p["id"])
+                    names = mix(np.array([p["id"] for p in found], np.int64).view(np.uint64) ^ mix(np.array([region], np.int64).view(np.uint64))).view(np.int64)
+                    around = [unpacked(p["members"]) for p in found]
+                x = unpacked(blob)
+                both = np.array([len(np.intersect1d(x, p, assume_unique=True)) for p in around])
+                apart = 1 - both / (np.array([len(p) for p in around]) + len(x) - both)
+                home = int(apart.argmin())
+                for k in np.flatnonzero(apart <= apart[home] + reach):
+                    at.append(row)
+                    to.append(int(names[k]))
+                    stay.append(bool(own[row]) and k == home)
+            rows = batch.select(["id", "n", "rest", "c", "docs"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), *rows.columns, pa.array(stay, pa.bool_())], ["region", "id", "n", "rest", "c", "docs", "own"])
+
+    salted = large.join(members, "id").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).join(pivots, ["region", "salt"])
+    return salted.select("region", "id", "n", "rest", "c", "docs", "own", "members", "pivots").mapInArrow(divide, "region long, id long, n long, rest long, c long, docs long, own boolean")
+
+
+def region_pairs(docs: DataFrame, regions: DataFrame, size: int, percent: int, leaf: int) -> DataFrame:
+    """Pairs (a, b, na, nb) of different components within regions (region, id, n, rest, c) that may link, after large regions have been divided."""
+    left = regions.select("region", "id", "n", "rest", "c", F.lit(True).alias("own"), F.lit(None).cast("long").alias("docs"))
+    leaves, members = [], None
+    for level in range(ROUNDS):
+        sizes = left.groupBy("region").agg(F.count("*").alias("now"), F.min("c").alias("low"), F.max("c").alias("high"), F.max("own").alias("some"), F.first("docs").alias("before")).where("low < high AND some")
+        sizes = stored(sizes.select("region", F.col("now").alias("docs"), ((F.col("now") > leaf) & (F.col("before").isNull() | (10 * F.col("now") <= 8 * F.col("before")))).alias("divide")))
+        leaves.append(left.drop("docs").join(sizes.where("NOT divide").drop("divide"), "region"))
+        if sizes.where("divide").isEmpty():
+            break
+        large = stored(left.drop("docs").join(sizes.where("divide").drop("divide"), "region"))
+        if members is None:
+            members = stored(member_sets(docs, large.select("id"), size))
+        left = stored(cells(large, members, percent, level))
+    else:
+        leaves.append(left.drop("docs").join(left.groupBy("region").agg(F.count("*").alias("docs")), "region"))
+    small = leaves[0]
+    for more in leaves[1:]:
+        small = small.unionByName(more)
+    small = small.withColumn("blocks", F.expr(f"(docs + {BLOCK - 1}) div {BLOCK}")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    every = F.expr("sequence(0L, blocks - 1)")
+    x = small.where("own").select("region", F.col("block").alias("i"), F.explode(every).alias("j"), *(F.col(k).alias(f"{k}_x") for k in ("id", "n", "rest", "c")))
+    y = small.select("region", F.explode(every).alias("i"), F.col("block").alias("j"), "own", *(F.col(k).alias(f"{k}_y") for k in ("id", "n", "rest", "c")))
+    once = (F.col("id_x") < F.col("id_y")) | (~F.col("own") & (F.col("id_x") > F.col("id_y")))
+    met = x.join(y, ["region", "i", "j"]).where(once & (F.col("c_x") != F.col("c_y")) & may_link(F.col("n_x"), F.col("n_y"), F.least("rest_x", "rest_y"), percent))
+    swap = F.col("id_x") > F.col("id_y")
+    return met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"), F.when(swap, F.col("n_y")).otherwise(F.col("n_x")).alias("na"), F.when(swap, F.col("n_x")).otherwise(F.col("n_y")).alias("nb")).distinct()
+
+
+def linked(docs: DataFrame, size: int = 4, percent: int = 85, leaf: int = 256, hot: int = 1000) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id) for docs (doc_id, text)."""
     spark = docs.sparkSession
-    every = stored(leading_shingles(docs, size, percent))
-    same = every.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"))
-    same = stored(same)
-    nodes = every.join(same.where("node IS NOT NULL").select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    regions = stored(dealt(nodes, 4 * partitions(spark)).groupBy("bucket").applyInPandas(lambda f: joined_regions(f, percent), "a long, b long, docs array<long>, sizes array<long>, rests array<long>"))
-    stars = stored(regions.where("docs IS NULL").select("a", "b").distinct())
-    links = stored(verified(docs, stars, size, percent))
-    label = components(links)
-
-    # documents of one region that are in different components
-    large = regions.where("docs IS NOT NULL").select(F.col("a").alias("region"), F.explode(F.arrays_zip("docs", "sizes", "rests")).alias("d"))
-    large = large.groupBy("region", F.col("d.docs").alias("id")).agg(F.max("d.sizes").alias("n"), F.max("d.rests").alias("rest"))
-    placed = stored(large.join(label, "id", "left").select("region", "id", "n", "rest", F.coalesce("component_id", "id").alias("c")))
-    open_regions = placed.groupBy("region").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("region")
-    left = placed.join(open_regions, "region", "left_semi")
-    x, y = left.toDF("region", "a", "na", "ra", "ca"), left.toDF("region", "b", "nb", "rb", "cb")
-    more = x.join(y, "region").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & may_link(F.col("na"), F.col("nb"), F.least("ra", "rb"), percent)).select("a", "b", "na", "nb").distinct().join(stars, ["a", "b"], "left_anti")
-    cells = nodes.select(F.col("doc_id").alias("id"), "cells")
-    more = more.join(cells.toDF("a", "pa"), "a").join(cells.toDF("b", "pb"), "b")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,18 +322,41 @@ def linked(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
             total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
             yield batch.select(["a", "b"]).filter(pa.array(100 * (total - apart) >= percent * (total + apart)))
 
-    rest = stored(more.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(windows, "a long, b long"))
-    if not rest.isEmpty():
-        again = verified(docs, rest, size, percent)
-        label = components(links.union(again))
-    named = same.join(label, F.col("node") == F.col("id"), "left").select("f1", "f2", "n", F.coalesce("component_id", "node").alias("component_id"))
-    return every.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    with passing():
+        every = stored(leading_shingles(docs, size, percent, hot))
+        same = stored(every.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node")))
+        nodes = every.join(same.where("node IS NOT NULL").select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        regions = stored(dealt(nodes, 4 * partitions(spark)).groupBy("bucket").applyInPandas(lambda f: joined_regions(f, percent), "a long, b long, docs array<long>, sizes array<long>, rests array<long>"))
+        common = stored(common_entries(nodes))
+        # regions of equal documents have equal names
+        first = common.groupBy("shingle").agg(F.min(F.struct("id", "n", "rest")).alias("f"), F.bit_xor(F.xxhash64("id")).alias("region"), F.count("*").alias("docs")).where("docs > 1")
+        star = common.join(first, "shingle").where((F.col("id") != F.col("f.id")) & may_link(F.col("n"), F.col("f.n"), F.least("rest", "f.rest"), percent)).select(F.col("f.id").alias("a"), F.col("id").alias("b"))
+        stars = stored(regions.where("docs IS NULL").select("a", "b").union(star).distinct())
+        links = verified(docs, stars, size, percent)
+        label = components(links)
+
+        # documents of one region that are in different components
+        large = regions.where("docs IS NOT NULL").select(F.col("a").alias("region"), F.explode(F.arrays_zip("docs", "sizes", "rests")).alias("d")).select("region", F.col("d.docs").alias("id"), F.col("d.sizes").alias("n"), F.col("d.rests").alias("rest"))
+        large = large.union(common.join(first.where("docs > 2").select("shingle", "region"), "shingle").select("region", "id", "n", "rest"))
+        large = large.groupBy("region", "id").agg(F.max("n").alias("n"), F.max("rest").alias("rest"))
+        placed = stored(large.join(label, "id", "left").select("region", "id", "n", "rest", F.coalesce("component_id", "id").alias("c")))
+        open_regions = placed.groupBy("region").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("region")
+        left = stored(placed.join(open_regions, "region", "left_semi"))
+        more = stored(region_pairs(docs, left, size, percent, leaf)).join(stars, ["a", "b"], "left_anti")
+        sizes = nodes.select(F.col("doc_id").alias("id"), "cells")
+        more = more.join(sizes.toDF("a", "pa"), "a").join(sizes.toDF("b", "pb"), "b")
+        rest = stored(more.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(windows, "a long, b long"))
+        if not rest.isEmpty():
+            label = components(links.union(verified(docs, rest, size, percent)))
+        named = same.join(label, F.col("node") == F.col("id"), "left").select("f1", "f2", "n", F.coalesce("component_id", "node").alias("component_id"))
+        return stored(every.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), lasting=True)
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents that are the smallest of their component (or have no doc_id), with all their columns."""
-    copies = stored(linked(docs, size, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__copy")).distinct())
-    return docs.join(copies, docs.doc_id == F.col("__copy"), "left_anti")
+    (copy,) = fresh(docs, "__copy")
+    copies = stored(linked(docs, size, percent).where("doc_id <> component_id").select(F.col("doc_id").alias(copy)).distinct(), lasting=True)
+    return docs.join(copies, docs.doc_id == F.col(copy), "left_anti")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -309,6 +309,28 @@ def test_jaccard_join(spark, docs, none, tmp_path):
     assert 2 not in kept and 15 not in kept and {1, 4, 5, 13} <= set(kept) and kept.count(None) == 2
 
 
+@pytest.mark.parametrize("leaf,hot,block", [(256, 1000, 1024), (4, 1000, 3), (4, 10, 1024), (2, 3, 2)])
+def test_jaccard_regions_divide_exactly(spark, tmp_path, monkeypatch, leaf, hot, block):
+    """Documents that share most of their shingles without being linked, and links across cells: the same components however regions are divided."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    r = random.Random(leaf)
+    common, texts = prose(70, 60).split(), []
+    for k in range(25):
+        own = common + prose(400 + k, r.randint(2, 30)).split()
+        for _ in range(r.randint(1, 5)):
+            v = list(own)
+            for _ in range(r.randint(0, 4)):
+                v[r.randrange(len(v))] = r.choice(["x", "y", "zz"])
+            texts.append((len(texts), " ".join(v)))
+    r.shuffle(texts)
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    frame.toPandas().to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    want = {tuple(x) for x in con.execute(jaccard_join.SQL["op7_jaccard_join"]).df()[["doc_id", "n_shingles", "component_id"]].values.tolist()}
+    assert {tuple(x) for x in jaccard_join.linked(frame, leaf=leaf, hot=hot).collect()} == want and len({c for _, _, c in want}) > 3
+
+
 def picture(seed, n=150):
     r = np.random.default_rng(seed)
     out = np.full((n, n), 128.0)
