@@ -46,6 +46,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Different values, ascending; by a sort, which for 64-bit numbers is many times faster than np.unique's table."""
+    s = np.sort(values)
+    return s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) else s
+
+
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among `known`, which ascend."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 class Words:
     """Words of several texts: start and end in `data`, fingerprint, and `first[i]:first[i+1]` for text i."""
 

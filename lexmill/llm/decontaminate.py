@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm._spark import stored, table
-from lexmill.llm._text import ALNUM, Words, chunks, mix
+from lexmill.llm._text import ALNUM, Words, among, chunks, distinct, mix
 
 FOUND = "doc_id long, n_words long, places binary, items array<string>, longest long"
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long"
@@ -55,7 +55,7 @@ class Block:
         self.depth = depth[self.item]
         self.lead = int(min(self.depth.min(), 4)) if len(self.item) else 1
         self.bitmap = np.zeros(BITS, bool)
-        self.leads = np.unique(leading(self.hash, self.lead)[self.start]) if len(self.item) else np.zeros(0, np.uint64)
+        self.leads = distinct(leading(self.hash, self.lead)[self.start]) if len(self.item) else np.zeros(0, np.uint64)
         self.bitmap[(self.leads & np.uint64(BITS - 1)).astype(np.int64)] = True
 
 
@@ -74,7 +74,7 @@ def search(words: Words, block: Block) -> tuple[np.ndarray, np.ndarray]:
         return none, none
     lead = leading(words.hash, block.lead)
     place = np.flatnonzero(block.bitmap[(lead & np.uint64(BITS - 1)).astype(np.int64)])
-    place = place[np.isin(lead[place], block.leads)]
+    place = place[among(lead[place], block.leads)]
     if not len(place):
         return none, none
     owner = np.searchsorted(words.first, place, "right") - 1

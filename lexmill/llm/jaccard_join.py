@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm._spark import carried, components, fresh, partitions, passing, stored, table
-from lexmill.llm._text import SPACED, Words, chunks, mix, shingles
+from lexmill.llm._text import SPACED, Words, among, chunks, distinct, mix, shingles
 
 SKETCH, PARTS, CELLS = 1 << 22, 64, 32
 CHUNK = 4096
@@ -70,7 +70,7 @@ def unpacked(blob: bytes) -> np.ndarray:
 def sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     """The distinct shingles of each text, ascending."""
     found, begin = shingles(Words(texts, SPACED), size)
-    return [np.unique(found[a:b]) for a, b in zip(begin[:-1], begin[1:])]
+    return [distinct(found[a:b]) for a, b in zip(begin[:-1], begin[1:])]
 
 
 def order_levels(docs: DataFrame, size: int) -> np.ndarray:
@@ -225,7 +225,7 @@ def joined_regions(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 def member_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """Rows (id, members): the packed sets of documents, with 48 bits of each shingle's fingerprint."""
-    return carried(docs, stored(ids.distinct()), lambda texts: [packed(np.unique(s >> np.uint64(16))) for s in sets(texts, size)]).toDF("id", "members")
+    return carried(docs, stored(ids.distinct()), lambda texts: [packed(distinct(s >> np.uint64(16))) for s in sets(texts, size)]).toDF("id", "members")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -237,7 +237,7 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
                 if a != last:
                     last, x = a, unpacked(p)
                 y = unpacked(q)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                both = int(among(y, x).sum())
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -268,7 +268,7 @@ def cells(large: DataFrame, members: DataFrame, percent: int, level: int) -> Dat
                     names = mix(np.array([p["id"] for p in found], np.int64).view(np.uint64) ^ mix(np.array([region], np.int64).view(np.uint64))).view(np.int64)
                     around = [unpacked(p["members"]) for p in found]
                 x = unpacked(blob)
-                both = np.array([len(np.intersect1d(x, p, assume_unique=True)) for p in around])
+                both = np.array([int(among(x, p).sum()) for p in around])
                 apart = 1 - both / (np.array([len(p) for p in around]) + len(x) - both)
                 home = int(apart.argmin())
                 for k in np.flatnonzero(apart <= apart[home] + reach):

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm._spark import equal_texts, partitions, table
-from lexmill.llm._text import chunks, mix
+from lexmill.llm._text import among, chunks, distinct, mix
 
 _U = np.uint64
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -216,7 +216,7 @@ def with_context(docs: DataFrame, depth: int, digit: int, buckets: int) -> DataF
             data, at = _joined(texts)
             h, text, place, first, last = chosen(data, at, depth, digit)
             wanted = np.concatenate([np.array(p, np.int64) + a for p, a in zip(others["places"], at)]) if texts else np.zeros(0, np.int64)
-            keep = np.isin(place, wanted)
+            keep = among(place, distinct(wanted))
             h, text, place, first, last = h[keep], text[keep], place[keep], first[keep], last[keep]
             e = np.zeros(len(h), kind)
             e["h"], e["doc"], e["place"] = h, np.array(others["doc_id"], np.int64)[text], place - at[text]
