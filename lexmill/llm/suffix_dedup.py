@@ -11,7 +11,7 @@ hash (a winnowing), so of each run of windows only that one place is dealt out:
     only are finished, and those that several documents of one task have are settled there, so a
     string that very many documents have sends its bucket two witnesses a task;
  2. the survivors fetch their context (depth - digit bytes on both sides); equal contexts within a
-    task are settled there, one of each goes on to its bucket;
+    task are settled there, one of each goes on to its bucket, where the same is done for those of all tasks;
  3. further digits: each bucket expands its places to windows and orders these by 8-byte words, most
     significant first, dropping what one document alone has after each pass. Windows are equal byte
     for byte to their full depth there: no fingerprint decides.
@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm._spark import equal_texts, partitions, table
+from lexmill.llm._spark import equal_texts, may_be_among, partitions, passing, stored, table
 from lexmill.llm._text import among, chunks, distinct, mix
 
 _U = np.uint64
@@ -72,22 +72,22 @@ def chosen(data: np.ndarray, at: np.ndarray, depth: int, digit: int) -> tuple[np
     hashes = gram_hashes(data, digit)
     if len(hashes) < span:
         return (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 4
-    low = _U((1 << 24) - 1)  # a chunk has fewer bytes; places in the low bits make the first of equal hashes win
-    wide = len(data) > 1 << 24
-    if wide:
-        low = _U((1 << 32) - 1)
-    least = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
-    have = 1
-    while have * 2 <= span:
-        least = np.minimum(least[: len(least) - have], least[have:])
-        have *= 2
-    if span > have:
-        least = np.minimum(least[: len(least) - (span - have)], least[span - have :])
+    low = _U((1 << 24) - 1)  # places in the low bits make the first of equal hashes win; longer data are ranked a piece at a time
+    places = []
+    for begin in range(0, len(hashes) - span + 1, (1 << 24) - span):
+        piece = hashes[begin : begin + (1 << 24) - 1]
+        least, have = (piece & ~low) | np.arange(len(piece), dtype=np.uint64), 1
+        while have < span:
+            step = min(have, span - have)
+            least = np.minimum(least[:-step], least[step:])
+            have += step
+        places.append((least & low).astype(np.int64)[: (1 << 24) - span] + begin)
+    least = np.concatenate(places)
     size = np.diff(at)
     windows = np.maximum(size - depth + 1, 0)
     text = np.repeat(np.arange(len(size)), windows)
     window = np.arange(len(text)) - np.repeat(np.concatenate(([0], np.cumsum(windows)))[:-1], windows) + at[:-1][text]
-    place = (least[window] & low).astype(np.int64)
+    place = least[window]
     first = np.flatnonzero(np.diff(place, prepend=-1))
     last = np.append(first[1:], len(place)) - 1
     return hashes[place[first]], text[first], place[first], window[first], window[last]
@@ -183,6 +183,23 @@ def first_digit(docs: DataFrame, depth: int, digit: int, buckets: int) -> DataFr
     return rows.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
 
 
+def settled(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of places with equal contexts that of the smallest document, which goes on, and the others, which it settles: smaller documents have all their windows."""
+    body = np.ascontiguousarray(np.concatenate((e["text"], e["low"][:, None], e["high"][:, None]), 1))
+    key = _row_hash(body)
+    order = np.lexsort((e["doc"], key))
+    key = key[order]
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))[: len(e)]
+    lead = np.repeat(order[start], np.diff(np.append(start, len(e))))
+    later = (e["doc"][order] > e["doc"][lead]) & (body[order] == body[lead]).all(1)
+    return e[order[~later]], e[order[later]]
+
+
+def extent(e: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the windows of places start and end in their texts."""
+    return (e["place"] - e["high"].astype(np.int32)).astype(np.int32), (e["place"] - e["low"].astype(np.int32) + depth).astype(np.int32)
+
+
 def with_context(docs: DataFrame, depth: int, digit: int, buckets: int) -> DataFrame:
     """docs (doc_id, text, places): the places' windows and context, settled or by bucket of the first digit."""
     side = depth - digit
@@ -193,21 +210,11 @@ def with_context(docs: DataFrame, depth: int, digit: int, buckets: int) -> DataF
         held, count = [], 0
 
         def flush() -> pa.RecordBatch:
-            e = np.concatenate(held)
-            # of equal contexts the smallest document goes on, for the others it settles the matter
-            body = np.ascontiguousarray(np.concatenate((e["text"], e["low"][:, None], e["high"][:, None]), 1))
-            _, group = np.unique(_row_hash(body), return_inverse=True)
-            order = np.lexsort((e["doc"], group))
-            start = np.flatnonzero(np.diff(group[order], prepend=-1))
-            lead = np.repeat(order[start], np.diff(np.append(start, len(e))))
-            equal = (body[order] == body[lead]).all(1)
-            later = equal & (e["doc"][order] > e["doc"][lead])
-            done, on = e[order[later]], e[order[~later]]
+            on, done = settled(np.concatenate(held))
             rows = []
             for b, o in _buckets(_bucket_of(on["h"], buckets), buckets):
                 rows.append((b, b"c" + _squeeze(on[o].tobytes())))
-            start_of = done["place"] - done["high"].astype(np.int32)
-            end_of = done["place"] - done["low"].astype(np.int32) + depth
+            start_of, end_of = extent(done, depth)
             for b, o in _buckets(done["doc"] % buckets, buckets):
                 rows.append((b, b"s" + _squeeze(done["doc"][o].tobytes() + start_of[o].astype(np.int32).tobytes() + end_of[o].astype(np.int32).tobytes())))
             return _blobs(rows)
@@ -306,7 +313,10 @@ def further_digits(dealt: DataFrame, depth: int, digit: int) -> DataFrame:
                 starts.append(np.frombuffer(raw, np.int32, k, 8 * k))
                 ends.append(np.frombuffer(raw, np.int32, k, 12 * k))
         if parts:
-            e = np.concatenate(parts)
+            e, done = settled(np.concatenate(parts))
+            docs.append(done["doc"])
+            for held, x in zip((starts, ends), extent(done, depth)):
+                held.append(x)
             e = e[np.argsort(e["h"], kind="stable")]
             start = np.flatnonzero(np.concatenate(([True], e["h"][1:] != e["h"][:-1])))
             cuts = [0]
@@ -332,39 +342,48 @@ def further_digits(dealt: DataFrame, depth: int, digit: int) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
-def suffix_dedup(docs: DataFrame, depth: int = 50, digit: int = 24) -> DataFrame:
-    """One row for each row of docs (doc_id, text): sizes, spans, digest and the bytes that are kept."""
+def suffix_dedup(docs: DataFrame, depth: int = 50, digit: int = 24, kept: bool = True) -> DataFrame:
+    """One row for each row of docs (doc_id, text): sizes, spans, digest and, if asked for, the bytes that are kept."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = docs.where("doc_id IS NOT NULL")
     buckets = 4 * partitions(spark)
     body = F.coalesce("text", F.lit(""))
-    copies = equal_texts(named.where(F.octet_length("text") >= depth)).select("doc_id")
-    places = first_digit(named.join(copies, "doc_id", "left_anti"), depth, digit, buckets)
-    spans = further_digits(with_context(named.join(places, "doc_id"), depth, digit, buckets), depth, digit)
+    with passing():
+        copies = equal_texts(named.where(F.octet_length("text") >= depth)).select("doc_id")
+        places = stored(first_digit(named.join(copies, "doc_id", "left_anti"), depth, digit, buckets))
+        # texts without such a place are not shuffled
+        placed = named.where(may_be_among(places.select(F.col("doc_id").alias("id")))("doc_id"))
+        spans = further_digits(with_context(placed.join(places, "doc_id"), depth, digit, buckets), depth, digit)
+        marks = stored(spans.join(copies.select("doc_id", F.lit(True).alias("copy")), "doc_id", "full_outer"), lasting=True)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, left = [], []
             for text, spans, copy in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), batch.column("copy").to_pylist()):
-                data = np.frombuffer(text, np.uint8)
-                steps = np.zeros(len(data) + 1, np.int64)
-                for s in [{"start": 0, "end": len(data)}] if copy else spans or ():
-                    steps[s["start"]] += 1
-                    steps[s["end"]] -= 1
-                gone = np.cumsum(steps[:-1]) > 0
-                kept = data[~gone].tobytes()
-                out.append((len(data), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest(), kept))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    marks = spans.join(copies.select("doc_id", F.lit(True).alias("copy")), "doc_id", "full_outer")
-    whole = named.join(marks, "doc_id", "left").unionByName(docs.where("doc_id IS NULL"), allowMissingColumns=True)
+                if copy or spans:
+                    data = np.frombuffer(text, np.uint8)
+                    steps = np.zeros(len(data) + 1, np.int64)
+                    for s in [{"start": 0, "end": len(data)}] if copy else spans:
+                        steps[s["start"]] += 1
+                        steps[s["end"]] -= 1
+                    gone = np.cumsum(steps[:-1]) > 0
+                    rest = data[~gone].tobytes()
+                    out.append((len(data), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(rest).hexdigest()))
+                else:
+                    rest = text
+                    out.append((len(text), 0, 0, hashlib.sha256(text).hexdigest()))
+                left.append(rest if kept else None)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)), pa.array(left, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    touched = F.col("doc_id").isNotNull() & may_be_among(marks.select(F.col("doc_id").alias("id")))("doc_id")
+    whole = docs.where(touched).join(marks, "doc_id", "left").unionByName(docs.where(~touched), allowMissingColumns=True)
     return whole.select("doc_id", body.alias("text"), "spans", F.coalesce("copy", F.lit(False)).alias("copy")).mapInArrow(cut, SCHEMA)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(table(sf_dir, "documents", spark)).drop("kept")
+    return suffix_dedup(table(sf_dir, "documents", spark), kept=False).drop("kept")
 
 
 QUERIES: dict[str, Callable] = {"op1_suffix_dedup": op1_suffix_dedup}
