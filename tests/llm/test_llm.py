@@ -360,6 +360,29 @@ def test_media(spark):
     assert len(got) == len(data) - 1 and got[10].n_links >= 4 and got[80].n_links == 0
 
 
+def test_media_recall(spark):
+    """The tables against judging all pairs: crops, brightness, noise, turns and scales of forty pictures; and a picture that many have a part of."""
+    r, data = np.random.default_rng(2), []
+    logo = picture(999, 50)
+    for k in range(40):
+        a = picture(50 + k, 130 + k)
+        if k % 4 == 0:
+            a[40:90, 40:90] = logo
+        copies = [a, a[10:-15, 12:-8], a * 0.7 + 30 + r.normal(0, 6, a.shape), np.rot90(a, k % 4), media.resized(a.astype(np.float32), 110, 110)]
+        data += [(10 * k + i, np.clip(c, 0, 255).astype(np.uint8)) for i, c in enumerate(copies)]
+    keys = {i: media.keypoints(media.gray(*c.shape, 1, c.tobytes())).tobytes() for i, c in data}
+    ids = sorted(keys)
+    want = {(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if (a // 10 == b // 10 or (a + b) % 7 == 0) and media.alike(keys[a], keys[b], 40, 8)}
+    rows_ = [(i, (*c.shape, 1, c.tobytes()), "x", 1) for i, c in data]
+    frame = spark.createDataFrame(rows_ + rows_[:3], T.StructType([T.StructField("media_id", T.LongType()), T.StructField("image", media.IMAGE), T.StructField("class_id", T.StringType()), T.StructField("n", T.IntegerType())]))
+    got = {x.media_id: x for x in media.image_classes(frame).collect()}
+    together = sum(got[a].class_id == got[b].class_id for a, b in want)
+    assert len(want) > 250 and together >= 0.9 * len(want), (together, len(want))
+    links = sum(x.n_links for x in got.values()) / 2
+    assert links >= 0.9 * len([1 for a, b in want if a // 10 == b // 10]), (links, len(want))
+    assert media.image_classes(frame).count() == len(rows_) + 3 and media.image_classes(frame.where("false")).count() == 0
+
+
 def test_language(spark, docs, none):
     kinds = {"xx": "an the of er in".split(), "yy": "zu kö ßa mi or".split(), "zz": "qui ñe ló ta ur".split()}
     train = spark.createDataFrame([(i, prose(i, 60, kinds[k]), k) for i, k in enumerate(list(kinds) * 30)] + [(500, None, "xx"), (501, "the", None)], "doc_id long, text string, lang string")
