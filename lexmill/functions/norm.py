@@ -8,6 +8,7 @@ Python UDF. Canonical composition alone (`nfc`) has no Catalyst form and is a pa
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -41,8 +42,16 @@ _strip = {c: s for c in _ALL if len(s := _stripped(c)) == 1 and s != c}
 FOLD_FROM, FOLD_TO = ("".join(x) for x in zip(*((c, f) for c, f in _fold.items() if len(f) == 1)))
 FOLD_LONG = {c: f for c, f in _fold.items() if len(f) > 1}
 STRIP_FROM, STRIP_TO = "".join(_strip), "".join(_strip.values())
-MARKS = char_class(c for c in _ALL if unicodedata.category(c)[0] == "M")
-PUNCTUATION = char_class(c for c in _ALL if unicodedata.category(c)[0] == "P")
+
+
+def wide_class(chars, first: int) -> str:
+    """A pattern for one of these characters that tries the large class only from `first` on: its ranges are tried one after another."""
+    small, large = [c for c in chars if ord(c) < first], [c for c in chars if ord(c) >= first]
+    return f"(?:{char_class(small) + '|' if small else ''}(?=[^\\x00-\\x{{{first - 1:x}}}]){char_class(large)})"
+
+
+MARKS = wide_class([c for c in _ALL if unicodedata.category(c)[0] == "M"], 0x300)
+PUNCTUATION = wide_class([c for c in _ALL if unicodedata.category(c)[0] == "P"], 0x37E)
 SPACE = char_class(c for c in _ALL if c.isspace())
 _LONG = char_class(FOLD_LONG)
 
@@ -52,15 +61,24 @@ def whitespace(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c worked out once, however often f uses it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def casefold(c: Column) -> Column:
-    one = F.translate(c, FOLD_FROM, FOLD_TO)
     table = F.create_map(*[F.lit(x) for kv in FOLD_LONG.items() for x in kv])
-    each = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), F.translate(x, FOLD_FROM, FOLD_TO))), "")
-    return F.when(c.rlike(ASCII), F.lower(c)).when(c.rlike(_LONG), each).otherwise(one)
+
+    def fold(x: Column) -> Column:
+        # the characters that fold to several, each by itself, and the runs between them
+        each = F.array_join(F.transform(F.split(x, f"(?<={_LONG})|(?={_LONG})"), lambda y: F.coalesce(F.try_element_at(table, y), F.translate(y, FOLD_FROM, FOLD_TO))), "")
+        return F.when(x.rlike(ASCII), F.lower(x)).when(x.rlike(_LONG), each).otherwise(F.translate(x, FOLD_FROM, FOLD_TO))
+
+    return bound(c, fold)
 
 
 def strip_diacritics(c: Column) -> Column:
-    return F.when(c.rlike(ASCII), c).otherwise(F.regexp_replace(F.translate(c, STRIP_FROM, STRIP_TO), MARKS, ""))
+    return bound(c, lambda x: F.when(x.rlike(ASCII), x).otherwise(F.regexp_replace(F.translate(x, STRIP_FROM, STRIP_TO), MARKS, "")))
 
 
 def strip_punctuation(c: Column) -> Column:
@@ -101,10 +119,20 @@ def key_nospace(c: Column) -> Column:
 KEYS = {"casefold": key_casefold, "diacritics_insensitive": key_diacritics_insensitive, "punct_stripped": key_punct_stripped, "nospace": key_nospace}
 
 
+def all_keys(c: Column) -> Column:
+    """A struct of the four keys of a form, which share their steps."""
+
+    def of(spaced: Column) -> Column:
+        plain = strip_diacritics(casefold(strip_punctuation(spaced)))
+        return bound(casefold(spaced), lambda folded: bound(strip_diacritics(folded), lambda bare: F.struct(folded.alias("casefold"), bare.alias("diacritics_insensitive"), plain.alias("punct_stripped"), remove_spaces(bare).alias("nospace"))))
+
+    return bound(whitespace(c), of)
+
+
 def search_keys(forms: Column) -> Column:
-    """A struct of four arrays: for each key type the distinct non-empty keys of the forms, in their order."""
+    """A struct of four arrays: for each key type the distinct non-empty keys of the forms, in their order; null for null forms."""
 
-    def of(function):
-        return F.array_distinct(F.filter(F.transform(forms, function), lambda k: k != ""))
+    def of(keys: Column) -> Column:
+        return F.struct(*[F.array_distinct(F.filter(keys[name], lambda k: k != "")).alias(name) for name in KEYS])  # a field of an array of structs is an array
 
-    return F.struct(*[of(f).alias(name) for name, f in KEYS.items()])
+    return bound(F.transform(forms, all_keys), of)
