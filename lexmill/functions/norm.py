@@ -2,7 +2,8 @@
 
 Case folding and removal of diacritics are `translate` tables and character classes, generated from
 the Unicode data of this Python at import; texts of ASCII alone take a shorter way. Nothing here is a
-Python UDF. Canonical composition alone (`nfc`) has no Catalyst form and is a pandas UDF.
+Python UDF. Canonical composition alone (`nfc`, in compose.py, so that workers need not make these
+tables) has no Catalyst form and is a pandas UDF.
 """
 
 from __future__ import annotations
@@ -10,10 +11,12 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from lexmill.functions.compose import nfc
+
+__all__ = ("KEYS", "all_keys", "bound", "casefold", "nfc", "punctuation_to_space", "remove_spaces", "search_keys", "strip_diacritics", "strip_punctuation", "whitespace")
 
 _ALL = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
 ASCII = "^[\\x00-\\x7f]*$"
@@ -93,12 +96,6 @@ def remove_spaces(c: Column) -> Column:
     return F.replace(c, F.lit(" "), F.lit(""))
 
 
-@F.pandas_udf(T.StringType())
-def nfc(s: pd.Series) -> pd.Series:
-    """Canonical composition; null stays null."""
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
-
-
 def key_casefold(c: Column) -> Column:
     return casefold(whitespace(c))
 

@@ -10,7 +10,6 @@ TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content
 #: Header names, and parts of names, whose values are redacted.
 SECRET_HEADERS = ("authorization", "proxy-authorization", "cookie", "set-cookie", "www-authenticate", "proxy-authenticate")
 SECRET_PARTS = ("token", "secret", "password", "credential", "apikey", "api-key", "api_key", "bearer", "auth-token", "access-key", "private-key")
-_PARTS = ("token", "secret", "auth", "session-id", "sessionid", "api-key", "apikey", "password", "credential", "csrf", "xsrf")
 _PARTS = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
 
 
@@ -19,6 +18,11 @@ def _quoted(c: Column) -> Column:
     return F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
+def _unquoted(c: Column) -> Column:
+    """Form decoding; a % that begins no escape stands for itself."""
+    return F.url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
 def canonical_url(c: Column) -> Column:
     """Lower-cased scheme and host without the scheme's default port, no slashes at the path's end, no
     tracking parameters or fragment, the other parameters sorted and encoded anew."""
@@ -28,12 +32,12 @@ def canonical_url(c: Column) -> Column:
     path = F.when(F.regexp_replace(path, "/+$", "") == "", "/").otherwise(F.regexp_replace(path, "/+$", ""))
 
     def pair(p: Column) -> Column:
-        return F.struct(F.try_url_decode(F.substring_index(p, "=", 1)).alias("k"), F.try_url_decode(F.when(p.contains("="), F.regexp_extract(p, "^[^=]*=(.*)$", 1)).otherwise("")).alias("v"))
+        return F.struct(_unquoted(F.substring_index(p, "=", 1)).alias("k"), _unquoted(F.when(p.contains("="), F.regexp_extract(p, "^[^=]*=(.*)$", 1)).otherwise("")).alias("v"))
 
     pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), pair)
     kept = F.array_sort(F.filter(pairs, lambda p: ~F.lower(p.k).isin(*TRACKING)))
     joined = F.array_join(F.transform(kept, lambda p: F.concat(_quoted(p.k), F.lit("="), _quoted(p.v))), "&")
-    return F.concat(F.when(scheme != "", F.concat(scheme, F.lit("://"))).otherwise(""), host, path, F.when(joined != "", F.concat(F.lit("?"), joined)).otherwise(""))
+    return F.concat(F.when(scheme != "", F.concat(scheme, F.lit("://"))).when(host != "", "//").otherwise(""), host, path, F.when(joined != "", F.concat(F.lit("?"), joined)).otherwise(""))
 
 
 def redacted_headers(headers: Column) -> Column:

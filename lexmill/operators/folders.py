@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder's path under spark.checkpoint.dir; where that is unset, as in tests, under one of our own."""
+    """A new folder's path under spark.checkpoint.dir; where that is unset, in local mode, under one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="lexmill-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/scratch/{uuid.uuid4().hex}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,18 +36,30 @@ def url_list(lines: DataFrame) -> DataFrame:
     return lines.select(F.trim("value").alias("url")).where((F.col("url") != "") & ~F.col("url").startswith("#"))
 
 
-@F.udf(T.BinaryType())
-def unzstd(content):
+@F.pandas_udf(T.BinaryType())
+def unzstd(content: pd.Series) -> pd.Series:
     import zstandard
 
-    return None if content is None else zstandard.ZstdDecompressor().decompressobj().decompress(bytes(content))
+    open_ = zstandard.ZstdDecompressor()
+    return content.map(lambda c: None if c is None else open_.decompressobj().decompress(bytes(c)))
 
 
-@F.udf(T.BinaryType())
-def zstd(content):
+@F.pandas_udf(T.BinaryType())
+def zstd(content: pd.Series) -> pd.Series:
     import zstandard
 
-    return None if content is None else zstandard.ZstdCompressor(3).compress(bytes(content))
+    pack = zstandard.ZstdCompressor(3)
+    return content.map(lambda c: None if c is None else pack.compress(bytes(c)))
+
+
+def write_payloads(pages: DataFrame, folder: str) -> None:
+    """Pages (snapshot_id, html) compressed as Parquet; what is there already stays as it is, so a payload never changes."""
+    spark = pages.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    new = pages.select("snapshot_id", zstd("html").alias("payload")).dropDuplicates(["snapshot_id"])
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        new = new.join(spark.read.parquet(folder).select("snapshot_id"), "snapshot_id", "left_anti")
+    new.write.mode("append").parquet(folder)
 
 
 def payloads(spark: SparkSession, folder: str, suffix: str = ".html.zst") -> DataFrame:

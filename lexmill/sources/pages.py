@@ -38,11 +38,20 @@ class Node:
     def classes(self) -> list[str]:
         return (self.attrs.get("class") or "").split()
 
-    def walk(self) -> Iterator[Node]:
-        for kid in self.kids:
-            if isinstance(kid, Node):
+    def inside(self) -> Iterator[Node | str | None]:
+        """What is inside, in order; without recursion, so a page may nest as deep as it likes."""
+        stack = [iter(self.kids)]
+        while stack:
+            for kid in stack[-1]:
                 yield kid
-                yield from kid.walk()
+                if isinstance(kid, Node):
+                    stack.append(iter(kid.kids))
+                    break
+            else:
+                stack.pop()
+
+    def walk(self) -> Iterator[Node]:
+        return (kid for kid in self.inside() if isinstance(kid, Node))
 
     def all(self, tag: str, *names: str) -> list[Node]:
         return [n for n in self.walk() if n.tag == tag and (not names or set(names) & set(n.classes()))]
@@ -52,12 +61,23 @@ class Node:
 
     def text(self) -> str:
         """All strings, each stripped, without anything between."""
-        return "".join(k.text() if isinstance(k, Node) else (k or "").strip() for k in self.kids)
+        return "".join(kid.strip() for kid in self.inside() if isinstance(kid, str))
 
     def html(self) -> str:
-        inner = "".join(k.html() if isinstance(k, Node) else escape(k or "", quote=False) for k in self.kids)
-        attrs = "".join(f' {k}="{escape(v or "")}"' for k, v in self.attrs.items())
-        return f"<{self.tag}{attrs}/>" if self.tag in VOID else f"<{self.tag}{attrs}>{inner}</{self.tag}>"
+        out, stack = [], [(self, None)]
+        while stack:
+            node, end = stack.pop()
+            if end is not None:
+                out.append(end)
+            elif isinstance(node, Node):
+                attrs = "".join(f' {k}="{escape(v or "")}"' for k, v in node.attrs.items())
+                out.append(f"<{node.tag}{attrs}/>" if node.tag in VOID else f"<{node.tag}{attrs}>")
+                if node.tag not in VOID:
+                    stack.append((node, f"</{node.tag}>"))
+                    stack += [(kid, None) for kid in reversed(node.kids)]
+            else:
+                out.append(escape(node or "", quote=False))
+        return "".join(out)
 
 
 class Tree(HTMLParser):

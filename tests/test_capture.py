@@ -8,6 +8,7 @@ def test_canonical_url(spark):
     cases = {
         "HTTP://Ex.COM:80/a/?b=2&a=1&utm_source=x#f": "http://ex.com/a?a=1&b=2", "https://h": "https://h/", "https://h/": "https://h/", "https://h//": "https://h/",
         "https://h/a?x=&REF=1": "https://h/a?x=", "https://h:443/p?q=a b": "https://h/p?q=a+b", "http://h:443/p": "http://h:443/p",
+        "https://h/a?x=100%&b=1": "https://h/a?b=1&x=100%25", "https://h/a?x=%zz": "https://h/a?x=%25zz", "//Host/a": "//host/a", "/a/b/": "/a/b", "https://h/a?q=%C3%A9": "https://h/a?q=%C3%A9",
     }
     for r in spark.createDataFrame(list(cases.items()), "u string, want string").select("*", urls.canonical_url(F.col("u")).alias("got")).collect():
         assert r.got == r.want

@@ -55,3 +55,18 @@ def test_strict_lines_stop(spark):
     schema = T.StructType([T.StructField("ir_id", T.StringType())])
     with pytest.raises(Exception, match="required"):
         jsonl.strict(spark.createDataFrame([('{"x": 1}',)], "value string"), schema, F.col("ir_id") != "").collect()
+
+
+def test_deep_pages(spark):
+    deep = "<div>" * 5000 + PAGE
+    rows = pages.lexicon(spark.createDataFrame([("https://h/lexicon/b.htm", deep)], "url string, html string")).collect()
+    assert {r.entry_id for r in rows} == {"e1", "e2"}
+    root = pages.Tree("<a><b x='1'>t&amp;</b><br><!-- c -->u</a>").root
+    assert root.first("a").html() == '<a><b x="1">t&amp;</b><br/>u</a>' and root.text() == "t&u"
+
+
+def test_payloads_stay(spark, tmp_path):
+    for html in (b"<p>one", b"<p>two"):
+        jsonl.write_payloads(spark.createDataFrame([("s1", html), ("s2", None)], "snapshot_id string, html binary"), str(tmp_path / "p"))
+    rows = spark.read.parquet(str(tmp_path / "p")).select("snapshot_id", jsonl.unzstd("payload").alias("html")).collect()
+    assert {r.snapshot_id: bytes(r.html) if r.html else None for r in rows} == {"s1": b"<p>one", "s2": None}
