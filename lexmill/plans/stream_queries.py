@@ -46,11 +46,131 @@ def installed_search(spark, sf) -> DataFrame:
 
 
 def bundle_check(spark, sf) -> DataFrame:
-    """Files of a built bundle against its manifest: all are there and whole."""
+    """Faults of bundles against their manifests: a whole one, and one with a file missing, resized, altered and not listed."""
     target = folders.scratch(spark)
     records = record_queries.normalized(spark, sf)
-    bundles.build(records, search.inverted_index(records), target, "full", "20260208")
-    return spark.createDataFrame([(len(bundles.verify(spark, target)),)], "faults long")
+    bundles.build(records.repartition(4, "ir_id"), search.inverted_index(records), f"{target}/good", "full", "20260208")
+    whole = bundles.verify(spark, f"{target}/good")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted(x.getPath().toString() for x in system.listStatus(path(f"{target}/good/records")) if x.getPath().getName().endswith(".json"))
+
+    def rewrite(file: str, change) -> None:
+        stream = system.open(path(file))
+        content = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        stream.close()
+        stream = system.create(path(file), True)
+        stream.write(change(content))
+        stream.close()
+
+    system.delete(path(files[0]), False)
+    rewrite(files[1], lambda c: c + b"\n")
+    rewrite(files[2], lambda c: b" " + c[1:])
+    stream = system.create(path(f"{target}/good/records/zz.json"), True)
+    stream.write(b"{}")
+    stream.close()
+    damaged = bundles.verify(spark, f"{target}/good")
+    return spark.createDataFrame([("whole", x) for x in whole] + [("damaged", x.split(":")[0]) for x in damaged], "bundle string, fault string")
+
+
+def _store(spark, sf) -> tuple[bundles.Store, str, dict, dict]:
+    """An empty store and two bundles of suppliers: those of even numbers, and all."""
+    target = folders.scratch(spark)
+    k = F.col("s_suppkey")
+    rows = read(spark, sf, "supplier").select(k.cast("string").alias("ir_id"), F.lit("lexicon_entry").alias("ir_kind"), F.col("s_name").alias("preferred_form"), k.alias("k"))
+    index = rows.select(F.lit("casefold").alias("key_type"), F.lower("preferred_form").alias("key"), F.array("ir_id").alias("ir_ids"), "k")
+    seed = bundles.build(rows.where("k % 2 = 0").drop("k"), index.where("k % 2 = 0").drop("k"), f"{target}/seed", "seed", "20260208")
+    full = bundles.build(rows.drop("k"), index.drop("k"), f"{target}/full", "full", "20260209", excluded=["b", "a"])
+    return bundles.Store(spark, f"{target}/store"), target, seed, full
+
+
+class _Crash(BaseException):
+    """The end of a process, which nothing catches."""
+
+
+def _crash(store: bundles.Store, folder: str, before: str) -> None:
+    """An install that ends before a value is written."""
+    put = store._put
+
+    def stop(name, value):
+        if name == before and value:
+            raise _Crash
+        put(name, value)
+
+    store._put = stop
+    try:
+        store.install(folder)
+    except _Crash:
+        pass
+    finally:
+        store._put = put
+
+
+def store_crashes(spark, sf) -> DataFrame:
+    """Installs of a second bundle that end at each step: the state, what recovery does, and the active rows before and after."""
+    out = []
+    for step in ("session", "registry", "active", "none"):
+        store, target, _, _ = _store(spark, sf)
+        store.install(f"{target}/seed")
+        _crash(store, f"{target}/full", step)
+        state, rows = store.status(), store.table("records").count()
+        done = store.recover() or ""
+        out.append((step, state, rows, done, store.status(), store.table("records").count(), store.table("search_index").count()))
+    return spark.createDataFrame(out, "step string, state string, rows_before long, done string, state_after string, rows_after long, index_after long")
+
+
+def store_steps(spark, sf) -> DataFrame:
+    """The store through its operations: after each its status, how many bundles are installed, and the type of the active one."""
+    store, target, seed, full = _store(spark, sf)
+    out = []
+
+    def say(step: str, result: str = "") -> None:
+        rows = store.installed().collect()
+        out.append((len(out), step, result, store.status(), len(rows), next((r.bundle_type for r in rows if r.active), None)))
+
+    say("new")
+    say("install seed", store.install(f"{target}/seed"))
+    say("install seed again", store.install(f"{target}/seed"))
+    listed = spark.createDataFrame([(m["bundle_id"], m["content_sha256"], f"{target}/{kind}") for kind, m in (("seed", seed), ("full", full))], "bundle_id string, content_sha256 string, folder string")
+    say("install listed full", store.install_listed(listed, full["bundle_id"]))
+    say("install listed full again", store.install_listed(listed, full["bundle_id"]))
+    try:
+        store.install_listed(listed.withColumn("content_sha256", F.lit("sha256:0")), full["bundle_id"])
+    except ValueError as e:
+        say("install another content", str(e))
+    store.activate(seed["bundle_id"])
+    say("activate seed")
+    store.clear_active()
+    say("clear")
+    store.activate(full["bundle_id"])
+    store.delete(full["bundle_id"])
+    say("delete full")
+    store.set_note("listed", {"n": 2})
+    say("note", str(store.note("listed")["n"]))
+    say("upgrade", str(store.upgrade()).lower())
+    store.set_note("schema", 1)
+    say("upgrade of an old one", str(store.upgrade()).lower())
+    return spark.createDataFrame(out, "step_no int, step string, result string, state string, bundles int, active string")
+
+
+def store_list(spark, sf) -> DataFrame:
+    store, target, _, _ = _store(spark, sf)
+    for kind in ("seed", "full"):
+        store.install(f"{target}/{kind}")
+    return store.installed().select("bundle_type", "records", "search_index", "active")
+
+
+def store_cancel(spark, sf) -> DataFrame:
+    """Installs that are cancelled while records or index are written: the old bundle stays, nothing is left over."""
+    store, target, _, _ = _store(spark, sf)
+    store.install(f"{target}/seed")
+    out = []
+    for step in ("records", "index"):
+        try:
+            store.install(f"{target}/full", fail_after=step)
+        except InterruptedError:
+            out.append((step, store.status(), store.installed().count(), store.table("records").count()))
+    return spark.createDataFrame(out, "step string, state string, bundles long, rows long")
 
 
 QUERIES["stream_capture_states"] = stream_capture_states
@@ -60,4 +180,16 @@ SQL["snk_idb_batch"] = "SELECT c_custkey, c_name, c_nationkey FROM customer"
 QUERIES["txn_install"] = installed_search
 SQL["txn_install"] = record_queries.SQL["jn_ladder_lookup"]
 QUERIES["val_bundle"] = bundle_check
-SQL["val_bundle"] = "SELECT 0::BIGINT AS faults"
+SQL["val_bundle"] = "SELECT 'damaged' AS bundle, unnest(['missing', 'size_mismatch', 'hash_mismatch', 'unlisted']) AS fault"
+_N = "count(*) AS n, count(*) FILTER (s_suppkey % 2 = 0) AS even FROM supplier"
+QUERIES["txn_recover"] = store_crashes
+SQL["txn_recover"] = f"""WITH c AS (SELECT {_N}) SELECT step, state, CASE WHEN active = 'full' THEN n ELSE even END AS rows_before, done, 'active' AS state_after, CASE WHEN after = 'full' THEN n ELSE even END AS rows_after, CASE WHEN after = 'full' THEN n ELSE even END AS index_after
+FROM c, (VALUES ('session', 'active', 'seed', '', 'seed'), ('registry', 'interrupted', 'seed', 'removed', 'seed'), ('active', 'interrupted', 'seed', 'committed', 'full'), ('none', 'active', 'full', '', 'full')) t(step, state, active, done, after)"""
+QUERIES["txn_store_steps"] = store_steps
+SQL["txn_store_steps"] = """SELECT * FROM (VALUES (0, 'new', '', 'empty', 0, NULL), (1, 'install seed', 'installed', 'active', 1, 'seed'), (2, 'install seed again', 'already_current', 'active', 1, 'seed'), (3, 'install listed full', 'installed', 'active', 2, 'full'),
+(4, 'install listed full again', 'already_current', 'active', 2, 'full'), (5, 'install another content', 'the bundle is not the one that the catalogue lists', 'active', 2, 'full'), (6, 'activate seed', '', 'active', 2, 'seed'), (7, 'clear', '', 'installed', 2, NULL),
+(8, 'delete full', '', 'installed', 1, NULL), (9, 'note', '2', 'installed', 1, NULL), (10, 'upgrade', 'false', 'installed', 1, NULL), (11, 'upgrade of an old one', 'true', 'empty', 0, NULL)) t(step_no, step, result, state, bundles, active)"""
+QUERIES["txn_list"] = store_list
+SQL["txn_list"] = f"WITH c AS (SELECT {_N}) SELECT 'full' AS bundle_type, n AS records, (SELECT count(DISTINCT lower(s_name)) FROM supplier) AS search_index, true AS active FROM c UNION ALL SELECT 'seed', even, (SELECT count(DISTINCT lower(s_name)) FROM supplier WHERE s_suppkey % 2 = 0), false FROM c"
+QUERIES["txn_cancel"] = store_cancel
+SQL["txn_cancel"] = f"WITH c AS (SELECT {_N}) SELECT step, 'active' AS state, 1::BIGINT AS bundles, even AS rows FROM c, (VALUES ('records'), ('index')) t(step)"

@@ -38,7 +38,7 @@ def test_bundle_and_store(spark, normalized, tmp_path):
     assert store.status() == "empty"
     with pytest.raises(InterruptedError):
         store.install(str(tmp_path / "b1"), fail_after="records")
-    assert store.installed() == [] and store.install(str(tmp_path / "b1")) == "installed" and store.install(str(tmp_path / "b1")) == "already_current"
+    assert store.installed().count() == 0 and store.install(str(tmp_path / "b1")) == "installed" and store.install(str(tmp_path / "b1")) == "already_current"
     assert store.status() == "active" and store.table("records").count() == 3
     store.delete(m["bundle_id"])
     assert store.status() == "empty"
