@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm._spark import stored, table
+from lexmill.llm._spark import fresh, stored, table
 from lexmill.llm._text import ALNUM, Words, among, chunks, distinct, mix
 
 FOUND = "doc_id long, n_words long, places binary, items array<string>, longest long"
@@ -198,8 +198,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    bad = stored(contamination(docs.where("doc_id IS NOT NULL"), benchmark, window, share).where("contaminated").select(F.col("doc_id").alias("__bad")))
-    return docs.join(bad, docs.doc_id == F.col("__bad"), "left_anti")
+    (bad_,) = fresh(docs, "__bad")
+    bad = stored(contamination(docs.where("doc_id IS NOT NULL"), benchmark, window, share).where("contaminated").select(F.col("doc_id").alias(bad_)).distinct(), lasting=True)
+    return docs.join(bad, docs.doc_id == F.col(bad_), "left_anti")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

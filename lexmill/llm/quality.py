@@ -79,8 +79,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = 4000, dimen
             rows = features(texts).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(others["doc_id"], pa.int64()), pa.array(others["quality"], pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "quality", "counts"])
 
-    # at most `sample` rows of 8 KB
-    known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(counted, "doc_id long, quality int, counts binary").limit(sample).toPandas().sort_values(["doc_id", "quality"])
+    # at most `sample` rows of 8 KB, the same ones also where a doc_id repeats
+    known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(counted, "doc_id long, quality int, counts binary").orderBy("doc_id", "quality", "counts").limit(sample).toPandas()
     label = known.quality.to_numpy(np.float32)
     prior = float(label.mean()) if len(label) else 0.5
     counts = np.stack([np.frombuffer(c, np.int32) for c in known.counts]).astype(np.float32) if len(label) else np.zeros((0, FEATURES), np.float32)

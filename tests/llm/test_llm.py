@@ -203,6 +203,28 @@ def test_quality_held_out(spark, none):
     assert quality.quality_scores(none, labels).count() == 0
 
 
+def test_quality_against_plain_votes(spark):
+    """Blocked products against one document at a time; repeated rows, ties of equal labelled texts, clashing names, texts over a chunk."""
+    r = random.Random(6)
+    texts = [(i, prose(500 + i % 50, r.randint(20, 60)) + "!?."[i % 3]) for i in range(90)] + [(200, prose(3, 60_000)), (201, None), (7, "again " + prose(9, 30))]
+    labels = [(i, i % 2) for i in range(60)] + [(3, 0)]
+    docs = spark.createDataFrame([(*t, 1, 0.5, "x") for t in texts], "doc_id long, text string, quality int, score double, counts string").repartition(3)
+    got = sorted((x.doc_id, round(x.score, 4)) for x in quality.quality_scores(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect())
+    by_id = [(d, q, t or "") for d, q in labels for e, t in texts if d == e]
+    counts = quality.features([t.encode() for _, _, t in by_id])
+    rows_ = sorted(zip(by_id, counts), key=lambda x: (x[0][0], x[0][1], x[1].astype(np.int32).tobytes()))
+    label, counts = np.array([x[0][1] for x in rows_], float), np.stack([x[1] for x in rows_])
+    idf, basis, vectors = quality.fit(counts, 48)
+    want = []
+    for d, t in texts:
+        v = (quality.unit(quality.weighted(quality.features([(t or "").encode()]), idf) @ basis) @ vectors.T)[0]
+        best = np.sort(v)[::-1]
+        weight = np.where(v >= best[14], np.maximum(v, 0).astype(float) ** 8, 0)
+        want.append((d, round(float((weight * label).sum() / weight.sum()) if weight.sum() > 1e-9 else label.mean(), 4)))
+    assert len(got) == len(texts) and sum(abs(a[1] - b[1]) > 0.02 for a, b in zip(got, sorted(want))) <= 2
+    assert [a[0] for a in got] == sorted(d for d, _ in texts)
+
+
 def test_license_scan(docs, none, spark):
     texts = {1: "The GNU General Public License; gnu, general PUBLIC license", 2: "Apache License, apache license apache\nlicense", 3: "cc by cc-by CC/BY ccby", 4: None, 5: "mit license", 6: "// SPDX-License-Identifier: (MIT OR GPL-2.0-only) AND Apache-2.0 WITH LLVM-exception */", 7: "SPDX-License-Identifier: MIT AND (", 8: "x mit licenses"}
     got = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
@@ -476,3 +498,70 @@ def test_pipeline(spark, tmp_path):
     assert sorted(r.position for r in out.values()) == sorted({r.position for r in out.values()})
     first = corpus_pipeline.STAGES[0][1](spark, full, str(tmp_path))
     assert first.columns == full.columns
+
+
+def odd_corpus(spark, path, empty=False):
+    item = prose(900, 30)
+    clash = {"__id": 1, "__bad": 2, "__copy": 3, "__spans": 4, "__key": 5, "__part": 6, "component_id": 7, "SLOT": 8}
+    texts = [(i, prose(i, 120), "en", f"s{i % 3}") for i in range(30)]
+    texts += [(None, prose(0, 120), None, None), (None, None, None, "s1"), (5, prose(5, 120), "en", "s2"), (6, prose(600, 90), "en", "s0"), (40, prose(41, 30_000), "en", "s0"), (41, prose(42, 60) + " " + prose(41, 30_000)[200:900], "en", None), (42, item, "en", "s1"), (43, "", "en", "s1")]
+    texts += [(50 + i, texts[i][1].replace(" ", "  ", 1), "en", "s0") for i in range(3)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in clash)
+    rows_ = [] if empty else [(*t, len(t[1] or ""), *clash.values()) for t in texts]
+    docs = spark.createDataFrame(rows_, schema)
+    docs.repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([] if empty else [(1, item)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return docs, texts
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Null and repeated doc_ids, clashing columns and long texts, stage by stage."""
+    import corpus_pipeline
+
+    docs, texts = odd_corpus(spark, str(tmp_path))
+    now = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name != "mixing":
+            assert out.columns == docs.columns, name
+        docs = spark.createDataFrame(out.collect(), out.schema)
+        now[name] = docs.collect()
+    ids = {name: sorted((r.doc_id for r in rows_ if r.doc_id is not None)) for name, rows_ in now.items()}
+    assert ids["language_id"] == sorted(d for d, t, *_ in texts if d is not None and t)
+    assert ids["jaccard_join"] == [*range(5), 5, 5, 6, 6, *range(7, 30), 40, 41, 42]  # copies with other white space go, rows of one doc_id stay together
+    assert all(sum(r.doc_id is None for r in rows_) == 2 for rows_ in now.values())
+    cut = next(r for r in now["passage_dedup"] if r.doc_id == 41)
+    assert words(cut.text)[:60] == words(prose(42, 60)) and len(words(cut.text)) <= 65
+    assert ids["decontaminate"] == [i for i in ids["passage_dedup"] if i != 42]
+    assert ids["mixing"] == ids["decontaminate"] and len({r.position for r in now["mixing"]}) == len(now["mixing"])
+    assert all((r["__id"], r["__bad"], r["__copy"], r["__spans"], r["__key"], r["__part"], r["component_id"]) == (1, 2, 3, 4, 5, 6, 7) for r in now["mixing"])
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    docs, _ = odd_corpus(spark, str(tmp_path), empty=True)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0 and (name == "mixing" or out.columns == docs.columns)
+
+
+def test_passages_do_not_depend_on_the_split(spark):
+    """The same rows however the table is split, and the recall of the windows: edited passages among families that share lead-ins."""
+    r, data = random.Random(12), []
+    for k in range(12):
+        lead, body = prose(800, 12).split(), prose(801 + k, 70).split()
+        for j in range(6):
+            v = list(body)
+            for _ in range(j % 3):
+                v[r.randrange(len(v))] = "changed%d" % r.randrange(9)
+            data.append((len(data), " ".join(prose(3000 + len(data), r.randint(5, 60)).split() + lead + v + prose(5000 + len(data), r.randint(5, 60)).split())))
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    one = sorted(map(tuple, passage_dedup.passage_report(frame.coalesce(1)).collect()))
+    assert one == sorted(map(tuple, passage_dedup.passage_report(frame.repartition(7)).collect()))
+    tokens = {d: passage_dedup.shingles(passage_dedup.Words([t.encode()], passage_dedup.ALNUM), 5)[0] for d, t in data}
+    links = [(a, b) for a in tokens for b in tokens if a < b and len(np.intersect1d(tokens[a], tokens[b])) >= 41 and passage_dedup.near_passages(tokens[a], tokens[b], 46, 80)]
+    got = {d: (n, c) for d, _, n, _, _, c in one}
+    assert len(links) > 100 and sum(got[a][1] == got[b][1] for a, b in links) >= 0.98 * len(links)
+    repeated = {b for _, b in links}
+    assert sum(got[b][0] >= 50 for b in repeated) >= 0.95 * len(repeated) and all(got[d][0] == 0 for d in tokens if d not in repeated)
