@@ -169,3 +169,28 @@ def carried(docs: DataFrame, ids: DataFrame, make: Callable[[list[bytes]], list[
                 yield pa.RecordBatch.from_arrays([pa.array(others["doc_id"], pa.int64()), pa.array(make(texts), pa.binary())], ["doc_id", "carried"])
 
     return named.mapInArrow(run, "doc_id long, carried binary").join(ids, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
+
+
+def literal(values: list[int]) -> Column:
+    """An array<bigint> as one constant, folded by the optimiser; as many lit() would make as many expressions."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
+
+
+def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """df with `name`: each row's place, from 0, in the total order; of rows that tie any comes first.
+
+    Ranges of the order are sorted side by side and numbered within; a second pass adds the rows of the ranges before,
+    one number a range. No task holds more than its range, and a salt written with the rows parts equal ones too.
+    """
+    spark = df.sparkSession
+    salt, within = fresh(df, "__salt", "__within")
+    fixed = stored(df.withColumn(salt, F.monotonically_increasing_id()), lasting=True)
+    ranges = fixed.repartitionByRange(partitions(spark), *order, F.col(salt)).sortWithinPartitions(*order, F.col(salt))
+    placed = stored(ranges.drop(salt).withColumn(within, F.monotonically_increasing_id()), lasting=True)  # the range's number in the upper bits
+    sizes = {r.part: r.n for r in placed.groupBy(F.shiftright(within, 33).alias("part")).agg(F.count("*").alias("n")).collect()}
+    before, total = [], 0
+    for part in range(max(sizes, default=-1) + 1):
+        before.append(total)
+        total += sizes.get(part, 0)
+    start = F.element_at(literal(before), (F.shiftright(within, 33) + 1).cast("int"))
+    return placed.withColumn(name, start + F.col(within).bitwiseAND((1 << 33) - 1)).drop(within)
