@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("token_counts", "license_scan", "language_id", "decontaminate", "quality", "mixing", "jaccard_join", "suffix_dedup", "passage_dedup", "media", "resampling", "byte_bpe")
+MODULES = ("token_counts", "license_scan", "language_id", "decontaminate", "quality", "mixing", "jaccard_join", "suffix_dedup", "passage_dedup", "media", "resampling", "byte_bpe", "conversation_trie")
 
 
 def collected() -> tuple[dict, dict]:
