@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexmill.llm._spark import table
 from lexmill.llm._text import _BASE, _INVERSE, _VALUE, _power, chunks, mix
@@ -301,7 +302,7 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int] | None = None, ids: str =
     """tokens with `name`: the bytes that the packed ids stand for."""
     sent = tokens.sparkSession.sparkContext.broadcast({rank: token for token, rank in (ranks or read_ranks(vocabulary_path())).items()})
     kept = tokens.drop(name)
-    schema = kept.schema.add(name, "binary")
+    schema = T.StructType([*kept.schema.fields, T.StructField(name, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = sent.value.__getitem__
