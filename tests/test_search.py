@@ -1,6 +1,15 @@
+import hashlib
+import json
+import threading
+import time
+
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexmill.operators import bundles, records, search
+from lexmill.operators import bundles, records, search, stopping
+from lexmill.sources import lines
+from lexmill.streaming import captures
 
 UNITS = "ir_id string, ir_kind string, source_id string, headword string, anchors array<string>, term string"
 
@@ -36,8 +45,9 @@ def test_bundle_and_store(spark, normalized, tmp_path):
     assert m["build"]["record_counts"] == {"lexicon_entry": 2, "index_mapping": 1}
     store = bundles.Store(spark, str(tmp_path / "store"))
     assert store.status() == "empty"
-    with pytest.raises(InterruptedError):
-        store.install(str(tmp_path / "b1"), fail_after="records")
+    with pytest.raises(stopping.Stopped, match="deadline"):
+        store.install(str(tmp_path / "b1"), stopping.Stop(spark, seconds=0))
+    assert store.status() == "empty"
     assert store.installed().count() == 0 and store.install(str(tmp_path / "b1")) == "installed" and store.install(str(tmp_path / "b1")) == "already_current"
     assert store.status() == "active" and store.table("records").count() == 3
     store.delete(m["bundle_id"])
@@ -47,3 +57,84 @@ def test_bundle_and_store(spark, normalized, tmp_path):
     next((tmp_path / "b1" / "records").glob(f".{victim.name}.crc")).unlink()
     assert any("hash_mismatch" in x for x in bundles.verify(spark, str(tmp_path / "b1")))
     assert bundles.verify(spark, str(tmp_path / "none")) == ["manifest missing or unreadable"]
+
+
+def test_later_rows_win_and_bundles_are_replaced(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "x", i, None) for i in range(50)] + [("b", "x", 0, None)], "ir_id string, ir_kind string, v int, gone string")
+    index = spark.createDataFrame([("casefold", "k", ["a"]), ("casefold", "k", ["b"])], "key_type string, key string, ir_ids array<string>")
+    for n in (0, 1):
+        bundles.build(rows.where(f"v >= {n}").coalesce(1), index.coalesce(1), str(tmp_path / "b"), "full", "20260208", file_rows=7)
+    assert not (tmp_path / "b.old").exists() and len(list((tmp_path / "b" / "records").glob("*.json"))) == 7
+    store = bundles.Store(spark, str(tmp_path / "store"))
+    (tmp_path / "b").rename(tmp_path / "b.old")  # as after a crash between the two renames
+    assert store.install(str(tmp_path / "b")) == "installed"
+    assert store.table("records").collect() == [("a", "x", 49, None)] and store.table("search_index").first().ir_ids == ["b"]
+
+
+def test_install_is_interrupted_from_another_thread(spark, tmp_path):
+    index = spark.createDataFrame([("casefold", "k", ["a"])], "key_type string, key string, ir_ids array<string>")
+    old, new = (spark.range(n).select(F.col("id").cast("string").alias("ir_id"), F.lit("x").alias("ir_kind"), F.lit(n).alias("n")) for n in (10, 400_000))
+    bundles.build(old, index, str(tmp_path / "old"), "seed", "20260208")
+    bundles.build(new, index, str(tmp_path / "new"), "full", "20260208", file_rows=20_000)
+    store = bundles.Store(spark, str(tmp_path / "store"))
+    store.install(str(tmp_path / "old"))
+    stop = stopping.Stop(spark)
+
+    def later():
+        while store.status() != "interrupted":
+            time.sleep(0.01)
+        while not any(spark.sparkContext.statusTracker().getActiveJobsIds()):
+            time.sleep(0.001)
+        stop.cancel()
+
+    thread = threading.Thread(target=later)
+    thread.start()
+    with pytest.raises(stopping.Stopped, match="cancelled"):
+        store.install(str(tmp_path / "new"), stop)
+    thread.join()
+    assert store.status() == "active" and store.installed().count() == 1 and store.table("records").count() == 10
+    assert [p.name for p in (tmp_path / "store" / "scopes").iterdir()] == [store.meta(store.installed().first().bundle_id)["scope"]]
+    assert store.install(str(tmp_path / "new")) == "installed" and store.table("records").count() == 400_000
+
+
+def test_deadline_of_a_running_job(spark):
+    stop = stopping.Stop(spark, seconds=1.0)
+    slow = F.udf(lambda x: time.sleep(0.2) or x, "long")
+    with pytest.raises(stopping.Stopped, match="deadline"), stop:
+        spark.range(0, 2000, 1, 4).select(slow("id")).write.format("noop").mode("overwrite").save()
+    assert spark.range(3).count() == 3
+    with pytest.raises(stopping.Stopped), stop:
+        pass
+
+
+def test_file_digests(spark, tmp_path):
+    """A file of more than 2 GB is hashed in pieces; one that is not as long as listed is not hashed."""
+    big = tmp_path / "big"
+    with open(big, "wb") as f:
+        f.truncate((2 << 30) + 5)  # sparse
+    (tmp_path / "small").write_bytes(b"abc")
+    files = [("big", str(big), None), ("small", f"file:{tmp_path}/small", 3), ("longer", str(tmp_path / "small"), 2), ("none", str(tmp_path / "x"), 1)]
+    got = {r.path: (r.byte_length, r.sha256) for r in bundles.file_digests(spark.createDataFrame(files, "path string, at string, listed long")).collect()}
+    digest, zeros = hashlib.sha256(), bytes(1 << 20)
+    for _ in range(2 << 10):
+        digest.update(zeros)
+    digest.update(bytes(5))
+    assert got == {"big": ((2 << 30) + 5, digest.hexdigest()), "small": (3, hashlib.sha256(b"abc").hexdigest()), "longer": (3, None)}
+
+
+def test_import_keeps_the_last_line_of_each_key(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.LongType())])
+
+    def run(name, rows):
+        (source / name).write_text("".join(json.dumps({"k": k, "v": v}) + "\n" for k, v in rows))
+        stream = lines.json_rows(lines.stream_lines(spark, str(source), rangebytes=40), schema, "path", "byte_start", "byte_length")
+        captures.import_rows(stream, str(tmp_path / "rows"), ["k"], str(tmp_path / "check"), ["path", "byte_start"], 3, str(tmp_path / "progress"), "byte_length").awaitTermination()
+        return {r.k: r.v for r in captures.latest_rows(spark.read.parquet(str(tmp_path / "rows")), ["k"]).collect()}
+
+    assert run("a", [("a", i) for i in range(50)] + [("b", 7), (None, 1)]) == {"a": 49, "b": 7, None: 1}
+    assert run("b", [("b", None), ("c", 3), ("c", 2)]) == {"a": 49, "b": None, "c": 2, None: 1}
+    progress = [tuple(r) for r in captures.progress_rows(spark.read.parquet(str(tmp_path / "progress"))).orderBy("batch").select("lines", "rows", "lines_so_far", "rows_so_far", "bytes_so_far").collect()]
+    assert [p[:4] for p in progress] == [(52, 3, 52, 3), (3, 2, 55, 5)]
+    assert progress[1][4] == sum(len(line) for f in source.iterdir() for line in f.read_bytes().splitlines())
