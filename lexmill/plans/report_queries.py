@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import identity, urls
-from lexmill.operators import bundles, capture, coverage, records
+from lexmill.operators import bundles, capture, coverage, records, robots
 from lexmill.plans.text_queries import read
 from lexmill.sources import pages
 
@@ -174,3 +174,20 @@ QUERIES["html_lexicon_entries"] = lambda s, d: pages.lexicon(_html_pages(s, d)).
 SQL["html_lexicon_entries"] = "SELECT 'e' || s_suppkey AS entry_id, s_name AS headword, s_name AS anchors, 'n' AS pos_hint, 1::BIGINT AS senses, 1 AS sense_num, substr(sha256('source|https://dict.example/lexicon/' || s_nationkey || '.htm|e' || s_suppkey || '|lexicon_v3'), 1, 16) AS ir_id, lead('e' || s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS end_selector FROM supplier"
 QUERIES["html_page_fields"] = lambda s, d: pages.parsed(read(s, d, "pages"), pages.page_fields, "url string, title string, h1 string, links int, paragraphs int").select("url", "links", F.length("title").alias("title"), F.length("h1").alias("h1"))
 SQL["html_page_fields"] = "SELECT url, (len(regexp_extract_all(html, '<a[ >]')))::INT AS links, length(trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')))::INT AS title, length(trim(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&')))::INT AS h1 FROM pages"
+
+
+def robots_gate(spark, sf) -> DataFrame:
+    """Parts as URLs on hosts of suppliers, whose robots files have a group of ours, or only one of all agents, or are not there."""
+    k = F.col("s_suppkey")
+    status = F.when(k % 7 == 0, 404).when(k % 7 == 1, 503).when(k % 7 > 2, 200)
+    own = F.concat(F.lit("User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /p\n\nUser-agent: LexBot\nAllow: /p"), (k % 5).cast("string"), F.lit("\nDisallow: /p # parts"))
+    files = read(spark, sf, "supplier").select(F.concat(F.lit("https://h"), k.cast("string")).alias("host"), status.alias("status"), F.when(k % 2 == 0, own).otherwise("User-agent: *\r\nDisallow: /%70" + "1/").alias("body"))
+    n = F.col("p_partkey")
+    fetches = read(spark, sf, "part").select("p_partkey", F.concat(F.lit("https://h"), (n % 1200).cast("string"), F.lit("/p"), (F.col("p_size") % 10).cast("string"), F.lit("/x")).alias("url"))
+    return robots.verdicts(fetches, files, "LexBot/1.0").drop("url")
+
+
+QUERIES["src_robots_gate"] = robots_gate
+SQL["src_robots_gate"] = """WITH j AS (SELECT p_partkey, s_suppkey AS k, p_size % 10 AS d FROM part LEFT JOIN supplier ON s_suppkey = p_partkey % 1200),
+v AS (SELECT *, CASE WHEN k % 7 > 2 THEN CASE WHEN k % 2 = 0 THEN d = k % 5 ELSE d <> 1 END ELSE true END AS ok FROM j)
+SELECT p_partkey, coalesce(k % 7 = 0 OR k % 7 > 2, false) AS observed, ok AS allowed, CASE WHEN k % 7 = 0 THEN 'no_robots_file' WHEN k % 7 = 1 THEN 'robots_unexpected_status_503' WHEN k % 7 > 2 THEN CASE WHEN ok THEN 'allowed' ELSE 'disallowed' END ELSE 'robots_fetch_failed' END AS notes FROM v"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.operators import folders, rules
+from lexmill.operators import folders, patches, rules
 from lexmill.plans.text_queries import read
 from lexmill.sources import jsonl
 
@@ -30,6 +30,25 @@ QUERIES["opt_corrections"] = corrected
 SQL["opt_corrections"] = """SELECT c_custkey::VARCHAR AS ir_id, CASE WHEN ok AND s_suppkey % 8 = 0 THEN s_name WHEN ok AND s_suppkey % 4 = 1 THEN NULL ELSE c_name END AS name, CASE WHEN ok AND s_suppkey % 4 = 3 THEN s_name END AS note, c_mktsegment AS segment,
   CASE WHEN ok AND (s_suppkey % 8 = 4 OR (s_suppkey % 4 = 2 AND s_name <> c_name)) THEN 'p1' END AS patch_error
 FROM (SELECT *, s_suppkey IS NOT NULL AND s_suppkey % 5 > 0 AS ok FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey)"""
+
+
+def patched_documents(spark, sf) -> DataFrame:
+    """Customers as nested records; suppliers as corrections of the customer of their number, of several operations each."""
+    c = read(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("ir_id"), F.to_json(F.struct(F.col("c_name").alias("name"), F.array(F.struct(F.col("c_mktsegment").alias("gloss")), F.struct(F.lit("b").alias("gloss"))).alias("senses"), F.struct(F.col("c_nationkey").alias("nation")).alias("meta"))).alias("document"))
+    k, op = F.col("s_suppkey"), lambda *x: F.struct(*[F.lit(v).cast(t).alias(n) if not hasattr(v, "alias") else v.alias(n) for v, (n, t) in zip(x, (("op", "string"), ("path", "string"), ("from", "string"), ("value", "string")))])
+    ops = F.when(k % 4 == 0, F.array(op("move", "/senses/0/name", "/name", None), op("add", "/senses/1", None, F.to_json(F.struct(F.col("s_name").alias("gloss")))))).when(k % 4 == 1, F.array(op("remove", "/senses/0", None, None), op("test", "/senses/0/gloss", None, '"b"'), op("copy", "/senses/-", "/meta", None)))
+    ops = ops.when(k % 4 == 2, F.array(op("replace", "/meta/nation", None, k.cast("string")), op("remove", "/none", None, None))).otherwise(F.array(op("test", "/meta/nation", None, "3.0"), op("replace", "/senses", None, "[]")))
+    p = read(spark, sf, "supplier").select(k.cast("string").alias("ir_id"), F.concat(F.lit("p"), (k % 3).cast("string")).alias("patch_id"), F.posexplode(ops).alias("seq", "o"), (k % 5 > 0).alias("approved")).select("ir_id", "patch_id", "seq", "o.*", "approved")
+    return patches.patched(c, p)
+
+
+QUERIES["opt_json_patch"] = patched_documents
+SQL["opt_json_patch"] = """WITH j AS (SELECT *, s_suppkey IS NOT NULL AND s_suppkey % 5 > 0 AS ok, s_suppkey % 4 AS m FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey),
+t AS (SELECT *, '"meta":{"nation":' || c_nationkey || '}' AS meta, '"name":"' || c_name || '"' AS name, '{"gloss":"' || c_mktsegment || '"}' AS a, ok AND (m = 2 OR m = 3 AND c_nationkey <> 3) AS failed FROM j)
+SELECT c_custkey::VARCHAR AS ir_id, CASE WHEN NOT ok OR failed THEN '{' || name || ',"senses":[' || a || ',{"gloss":"b"}],' || meta || '}' WHEN m = 0 THEN '{' || meta || ',"senses":[{"gloss":"' || c_mktsegment || '",' || name || '},{"gloss":"' || s_name || '"},{"gloss":"b"}]}'
+  WHEN m = 1 THEN '{' || meta || ',' || name || ',"senses":[{"gloss":"b"},{"nation":' || c_nationkey || '}]}' ELSE '{' || meta || ',' || name || ',"senses":[]}' END AS document, CASE WHEN failed THEN 'p' || s_suppkey % 3 END AS patch_error FROM t"""
+
+
 def _raw():
     return F.when(F.col("p_size") % 7 > 0, F.element_at(F.array(*[F.lit(x) for x in ("n", "V", "adj", " pp ", "conj", "n.prop")]), F.col("p_size") % 6 + 1))
 

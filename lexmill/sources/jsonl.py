@@ -31,6 +31,21 @@ def strict(lines: DataFrame, schema: T.StructType, required: Column) -> DataFram
     return rows.where(F.when(F.coalesce(required, F.lit(False)), True).otherwise(F.raise_error(F.lit("row without a required field")).cast("boolean")))
 
 
+PLACE = ("path", "block", "row")
+
+
+def placed_lines(spark: SparkSession, paths: list[str] | str, limit: int = MAX_LINE) -> DataFrame:
+    """Lines (value) with their place (path, block, row), which orders them as they stand in each file; blank ones are skipped.
+
+    Read by Spark's own text source: a block's rows are numbered where they are read, so nothing is counted beforehand; line
+    numbers are those of `lines.numbered_lines`.
+    """
+    found = spark.read.option("lineSep", "\n").text(paths)
+    place = (F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    value = F.when(F.octet_length("value") > limit, F.raise_error(F.lit("line over the limit"))).otherwise(F.regexp_replace("value", "\r$", ""))
+    return found.select(value.cast("string").alias("value"), *place).where(F.trim("value") != "")
+
+
 def url_list(lines: DataFrame) -> DataFrame:
     """URLs of a list: trimmed, without blank lines and comments."""
     return lines.select(F.trim("value").alias("url")).where((F.col("url") != "") & ~F.col("url").startswith("#"))

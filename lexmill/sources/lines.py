@@ -34,7 +34,7 @@ BATCH = 2 << 20
 LINES = "path string, range_start long, line_in_range long, byte_start long, byte_length long, value string"
 COUNTS = "path string, range_start long, lines long"
 #: White space of the line format, with no-break spaces and the byte-order mark.
-BLANK = "\t\n\x0b\x0c\r \xa0                　﻿"
+BLANK = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 @dataclass
@@ -137,7 +137,7 @@ def batches(part: Range, limit: int, null_long: bool, keep_blank: bool) -> Itera
     for number, start, length, raw in lines_of(part, limit, null_long):
         value = None
         if raw is not None:
-            value = raw.decode("utf-8", "replace").removeprefix("﻿").removesuffix("\r")
+            value = raw.decode("utf-8", "replace").removeprefix("\ufeff").removesuffix("\r")
             if not keep_blank and not value.strip(BLANK):
                 continue
         rows.append((number, start, length, value))

@@ -25,7 +25,7 @@ def sequential(data):
     out, start = [], 0
     for i, raw in enumerate(data.split(b"\n")):
         if start < len(data):
-            value = raw.decode("utf-8", "replace").removeprefix("﻿").removesuffix("\r")
+            value = raw.decode("utf-8", "replace").removeprefix("\ufeff").removesuffix("\r")
             if value.strip(lines.BLANK):
                 out.append((i + 1, start, len(raw), value))
         start += len(raw) + 1
