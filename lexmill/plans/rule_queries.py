@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.operators import folders, patches, rules
+from lexmill.functions import canonical
+from lexmill.operators import folders, patches, provenance, rules
 from lexmill.plans.text_queries import read
 from lexmill.sources import jsonl
 
@@ -49,6 +50,50 @@ SELECT c_custkey::VARCHAR AS ir_id, CASE WHEN NOT ok OR failed THEN '{' || name
   WHEN m = 1 THEN '{' || meta || ',' || name || ',"senses":[{"gloss":"b"},{"nation":' || c_nationkey || '}]}' ELSE '{' || meta || ',' || name || ',"senses":[]}' END AS document, CASE WHEN failed THEN 'p' || s_suppkey % 3 END AS patch_error FROM t"""
 
 
+def fragments(spark, sf) -> DataFrame:
+    """Parts as places on scanned pages: the hash of each one's locator, and of the bytes of its name."""
+    k = F.col("p_partkey")
+    pointer = F.struct(F.lit("part").alias("source_id"), F.md5("p_name").alias("snapshot_id"), F.col("p_size").alias("page_number"), F.when(k % 4 > 0, k % 4 * 90).alias("rotation_degrees"), F.array(F.col("p_size") / 8.0, (k % 1000) / 64.0, F.lit(1.0), F.lit(1e21) * (k + 1)).cast("array<double>").alias("bbox"), F.when(k % 3 > 0, F.concat("p_name", F.lit('\t"\u0001\\'))).alias("pdf_text_quote"))
+    parts = read(spark, sf, "part").select("p_partkey", pointer.alias("pointer"), F.encode("p_name", "UTF-8").alias("content"))
+    return parts.select("p_partkey", canonical.locator_hash(F.col("pointer"), parts.schema["pointer"].dataType).alias("locator_hash"), canonical.span_hash(F.col("content"), F.lit(1), F.lit(4)).alias("span_hash"))
+
+
+QUERIES["fn_fragment_hash"] = fragments
+SQL["fn_fragment_hash"] = r"""SELECT p_partkey, 'sha256:' || sha256('{"bbox":[' || regexp_replace((p_size / 8.0::DOUBLE)::VARCHAR, '\.0$', '') || ',' || regexp_replace((p_partkey % 1000 / 64.0::DOUBLE)::VARCHAR, '\.0$', '') || ',1,' || rtrim(rtrim(((p_partkey + 1) / 10 ** (length((p_partkey + 1)::VARCHAR) - 1))::DECIMAL(18, 12)::VARCHAR, '0'), '.') || 'e+' || (20 + length((p_partkey + 1)::VARCHAR)) || '],"fragment_representation_kind":"locator_jcs_v1","page_number":' || p_size
+  || CASE WHEN p_partkey % 3 > 0 THEN ',"pdf_text_quote":"' || p_name || '\t\"\u0001\\"' ELSE '' END || CASE WHEN p_partkey % 4 > 0 THEN ',"rotation_degrees":' || p_partkey % 4 * 90 ELSE '' END || ',"snapshot_id":"' || md5(p_name) || '","source_id":"part"}') AS locator_hash,
+  'sha256:' || sha256(substr(p_name, 2, 3)) AS span_hash FROM part"""
+
+
+def derivations(spark, sf) -> DataFrame:
+    """Lines derived from their order and supplier, orders from their customer, some customers from each other: the nearest licence and all sources."""
+    text = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
+    orders, customer, supplier = (read(spark, sf, t) for t in ("orders", "customer", "supplier"))
+    line = F.concat(F.lit("l"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
+    lineitem = read(spark, sf, "lineitem")
+    none = F.lit(None).cast("string")
+    records = lineitem.select(line.alias("id"), none.alias("license"), none.alias("source_id"))
+    records = records.unionByName(orders.select(text("o", "o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")).alias("license"), F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("s"), (F.col("o_custkey") % 7).cast("string"))).alias("source_id")))
+    records = records.unionByName(customer.select(text("c", "c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("license"), F.lit("customer").alias("source_id")))
+    records = records.unionByName(supplier.select(text("p", "s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 5 == 0, F.col("s_name")).alias("license"), F.lit("supplier").alias("source_id")))
+    c = F.col("c_custkey")
+    edges = lineitem.select(line.alias("id"), text("o", "l_orderkey").alias("input")).unionByName(lineitem.select(line.alias("id"), text("p", "l_suppkey").alias("input"))).unionByName(orders.select(text("o", "o_orderkey").alias("id"), text("c", "o_custkey").alias("input")))
+    edges = edges.unionByName(customer.where(c % 100 < 2).select(text("c", "c_custkey").alias("id"), F.concat(F.lit("c"), (c - c % 100 * 2 + 1).cast("string")).alias("input")))
+    return provenance.with_provenance(records, edges, ["license"]).select("id", "license.value", "license.origin", "license.steps", F.array_join("sources", ",").alias("sources"), "cyclic")
+
+
+QUERIES["jn_derivation"] = derivations
+SQL["jn_derivation"] = """WITH RECURSIVE r AS (SELECT DISTINCT 'l' || l_orderkey || '-' || l_linenumber AS id, NULL AS license, NULL AS source_id FROM lineitem
+  UNION ALL SELECT 'o' || o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END, CASE WHEN o_orderkey % 4 = 0 THEN 's' || o_custkey % 7 END FROM orders
+  UNION ALL SELECT 'c' || c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END, 'customer' FROM customer UNION ALL SELECT 'p' || s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN s_name END, 'supplier' FROM supplier),
+e AS (SELECT x.id, input FROM (SELECT 'l' || l_orderkey || '-' || l_linenumber AS id, 'o' || l_orderkey AS input FROM lineitem UNION SELECT 'l' || l_orderkey || '-' || l_linenumber, 'p' || l_suppkey FROM lineitem UNION SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders
+  UNION SELECT 'c' || c_custkey, 'c' || c_custkey - c_custkey % 100 * 2 + 1 FROM customer WHERE c_custkey % 100 < 2) x JOIN r ON r.id = input),
+w(id, up, steps) AS (SELECT id, id, 0 FROM r UNION SELECT w.id, e.input, steps + 1 FROM w JOIN e ON e.id = w.up WHERE steps < 4),
+n AS (SELECT w.id, arg_min(license, (steps, up)) AS value, arg_min(up, (steps, up)) AS origin, min(steps) AS steps FROM w JOIN r ON r.id = w.up WHERE license IS NOT NULL GROUP BY w.id),
+s AS (SELECT w.id, string_agg(DISTINCT source_id, ',' ORDER BY source_id) AS sources FROM w JOIN r ON r.id = w.up WHERE source_id IS NOT NULL GROUP BY w.id),
+y AS (SELECT DISTINCT id FROM w WHERE id = up AND steps > 0)
+SELECT r.id, n.value, n.origin, n.steps, coalesce(sources, '') AS sources, y.id IS NOT NULL AS cyclic FROM r LEFT JOIN n USING (id) LEFT JOIN s USING (id) LEFT JOIN y USING (id)"""
+
+
 def _raw():
     return F.when(F.col("p_size") % 7 > 0, F.element_at(F.array(*[F.lit(x) for x in ("n", "V", "adj", " pp ", "conj", "n.prop")]), F.col("p_size") % 6 + 1))
 
