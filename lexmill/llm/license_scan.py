@@ -5,18 +5,20 @@ all base phrases, further notice phrases and the identifier tag in one pass over
 follows an identifier tag, to the next tag or the end of its line, is parsed by a shunting-yard and its and/or/with expression is
 evaluated for the freedom it leaves (and: least, or: most, with: a little more than without).
 
-Labels: base phrases give gpl, apache, cc-by and mit; further notices give notice:<name>; tags give
-spdx:<identifier> and spdx:<exception>, and spdx:malformed for an expression that cannot be parsed
+Labels: base phrases give gpl, apache, cc-by and mit; names of licences give name:<identifier>, and with a version behind
+them name:<identifier>-<version> too; further notices give notice:<name>; tags (with a colon or equals sign) give spdx:<identifier> and spdx:<exception>, and spdx:malformed for an expression that cannot be parsed
 (its identifiers count all the same). score is the strength of the evidence, 1 - 2**-(base places +
 notices + 2 * tags). freedom (0 to 1) is the mean of the tags' values, null without tags.
 
-Cases: null and empty texts have no words, no labels and score 0; overlapping places all count;
+Cases: null and empty texts have no words, no labels and score 0; overlapping places all count; very long
+texts, also of one line, are scanned whole in time linear in their length;
 repeated rows each get a row; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -29,16 +31,30 @@ NOTICES = {
     "permission is hereby granted free of charge": "notice:permissive-grant",
     "redistribution and use in source and binary forms": "notice:bsd-terms",
     "this program is free software": "notice:copyleft-program",
-    "mozilla public license": "notice:mozilla",
-    "eclipse public license": "notice:eclipse",
-    "creative commons attribution": "notice:creative-commons",
     "licensed under": "notice:licensed-under",
     "all rights reserved": "notice:all-rights-reserved",
 }
+#: Names of licences and how their identifiers begin; a version that follows is added.
+NAMES = {
+    "gnu general public license": "gpl", "gnu lesser general public license": "lgpl", "gnu library general public license": "lgpl", "gnu affero general public license": "agpl", "gnu free documentation license": "gfdl",
+    "apache license": "apache", "apache software license": "apache", "mit license": "mit", "expat license": "mit", "isc license": "isc", "zlib license": "zlib", "boost software license": "bsl", "unlicense": "unlicense",
+    "bsd 2 clause": "bsd-2-clause", "bsd 3 clause": "bsd-3-clause", "bsd 4 clause": "bsd-4-clause", "2 clause bsd": "bsd-2-clause", "3 clause bsd": "bsd-3-clause", "simplified bsd license": "bsd-2-clause", "new bsd license": "bsd-3-clause", "modified bsd license": "bsd-3-clause",
+    "mozilla public license": "mpl", "eclipse public license": "epl", "eclipse distribution license": "edl", "common development and distribution license": "cddl", "common public license": "cpl", "ibm public license": "ipl",
+    "european union public licence": "eupl", "european union public license": "eupl", "open software license": "osl", "academic free license": "afl", "artistic license": "artistic", "microsoft public license": "ms-pl", "microsoft reciprocal license": "ms-rl",
+    "python software foundation license": "psf", "php license": "php", "ruby license": "ruby", "postgresql license": "postgresql", "openssl license": "openssl", "sil open font license": "ofl", "open data commons open database license": "odbl",
+    "cc0": "cc0", "creative commons zero": "cc0", "creative commons attribution": "cc-by", "creative commons attribution sharealike": "cc-by-sa", "creative commons attribution share alike": "cc-by-sa", "creative commons attribution noncommercial": "cc-by-nc", "creative commons attribution non commercial": "cc-by-nc",
+    "cc by": "cc-by", "cc by sa": "cc-by-sa", "cc by nc": "cc-by-nc", "cc by nd": "cc-by-nd", "cc by nc sa": "cc-by-nc-sa", "cc by nc nd": "cc-by-nc-nd", "public domain dedication": "pddl",
+}
+#: Short names, which count where a version follows them in prose ("MPL 2.0", "GPL v3", "GPLv2").
+SHORT = ("gpl", "lgpl", "agpl", "mpl", "epl", "cddl", "eupl", "osl", "afl")
+_SHORT = re.compile(rf"(?<![0-9a-z\x80-\U0010ffff-])({'|'.join(SHORT)})(?:[ \t]+(?:version[ \t]+|v\.?[ \t]*)?|v)([0-9]{{1,2}})(?:\.([0-9]))?(?![0-9a-z\x80-\U0010ffff])", re.I)
+_VERSIONED = tuple(f"{name}v{n}" for name in SHORT for n in (1, 2, 3, 4))
+#: A version in the words behind a name: "version 2.1", "v3", "2.0 international".
+_VERSION = re.compile(rb"(?:license |licence |international )?(?:version |v(?=[0-9 ]) ?)?([0-9]{1,2})(?: ([0-9]))?(?= )")
 TAG = "spdx license identifier"
 #: Fixed: all bytes but 0-9, a-z (A-Z become those) and non-ASCII ones separate words.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_TAGGED = re.compile(r"spdx[^0-9a-z\x80-\U0010ffff]+license[^0-9a-z\x80-\U0010ffff]+identifier(?![0-9a-z\x80-\U0010ffff])\s*[:=]?[ \t]*", re.I)
+_TAGGED = re.compile(r"(?<![0-9a-z\x80-\U0010ffff])spdx[^0-9a-z\x80-\U0010ffff]+license[^0-9a-z\x80-\U0010ffff]+identifier(?![0-9a-z\x80-\U0010ffff])[ \t]*[:=][ \t]*", re.I)
 _LINE_END = re.compile(r"[\r\n]|$")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:\-]*")
 RANK = {"or": 1, "and": 2, "with": 3}
@@ -90,6 +106,21 @@ def parse_expression(text: str) -> list[str] | None:
     return out + waiting[::-1]
 
 
+def expression_end(text: str) -> int:
+    """Where the expression that `text` begins with ends: behind the last word or bracket that can continue it."""
+    end, depth, want_name = 0, 0, True
+    for found in _TOKEN.finditer(text):
+        token = found[0].lower()
+        if want_name != (token == "(" or (token != ")" and token not in RANK)):
+            break
+        depth += (token == "(") - (token == ")")
+        if depth < 0:
+            break
+        want_name = token == "(" or token in RANK
+        end = found.end()
+    return end
+
+
 def evaluate(postfix: list[str]) -> float:
     """The freedom that a licence expression leaves."""
     stack: list[float] = []
@@ -106,7 +137,7 @@ def automaton():
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for phrase in (*BASE, *NOTICES, TAG):
+    for phrase in {*BASE, *NOTICES, *NAMES, *SHORT, *_VERSIONED, TAG}:
         found.add_word(f" {phrase} ", phrase)
     found.make_automaton()
     return found
@@ -118,29 +149,55 @@ def scan(text: str | None, find) -> tuple:
     if not words:
         return 0, 0, None, None, "", "", 0.0, None
     line = b" " + b" ".join(words) + b" "
-    at, counted, starts, base, labels, notices, tagged = 0, 0, [], set(), set(), 0, False
+    at, counted, starts, base, labels, notices, tagged, short, named = 0, 0, [], set(), set(), 0, False, False, []
     for end, phrase in find(line.decode("latin-1")):
         start = end - len(phrase) - 1  # the space before it; the words before are as many as the spaces before that
         counted, at = counted + (line.count(b" ", at, start) if start >= at else -line.count(b" ", start, at)), start
         if phrase in BASE:
             starts.append(counted)
             base.add(BASE[phrase])
+        if phrase in NAMES:
+            version = _VERSION.match(line, end + 1, end + 40)
+            named.append((counted, phrase, ".".join(x.decode() for x in version.groups() if x) if version else ""))
+        elif phrase in SHORT or phrase in _VERSIONED:
+            short = True
         elif phrase == TAG:
             tagged = True
-        else:
+        elif phrase in NOTICES:
             notices += 1
             labels.add(NOTICES[phrase])
-    values = []
+    values, within, spans = [], [], []
     tags = list(_TAGGED.finditer(text)) if tagged else []
+    before, read = 0, 0  # words before the tag, and the text in which they were counted
     for tag, following in zip(tags, [*(t.start() for t in tags[1:]), len(text)] if tags else ()):
         # to the next tag or the end of the line
-        rest = text[tag.end() : min(following, _LINE_END.search(text, tag.end()).start())]
+        stop = _LINE_END.search(text, tag.end(), following).start()
+        stop = tag.end() + expression_end(text[tag.end() : stop])
+        rest = text[tag.end() : stop]
         postfix = parse_expression(rest)
         if postfix is None:
             labels.add("spdx:malformed")
         names = [t.lower() for t in _TOKEN.findall(rest) if t not in "()" and t.lower() not in RANK] if postfix is None else [t for t in postfix if t not in RANK]
         labels.update(f"spdx:{n}" for n in names)
         values.append(0.0 if postfix is None else evaluate(postfix))
+        before += len(text[read : tag.start()].encode().translate(_WORDS).split()) + 3
+        within.append((before, before + len(rest.encode().translate(_WORDS).split())))
+        spans.append((tag.start(), stop))
+        before, read = within[-1][1], stop
+    for word, phrase, version in named:
+        i = bisect_right(within, (word, len(words))) - 1
+        if i >= 0 and word < within[i][1]:
+            continue  # a tag's own identifiers
+        notices += phrase not in BASE
+        labels.add(f"name:{NAMES[phrase]}")
+        if version:
+            labels.add(f"name:{NAMES[phrase]}-{version}")
+    for found in _SHORT.finditer(text) if short else ():
+        i = bisect_right(spans, (found.start(), len(text))) - 1
+        if i < 0 or found.start() >= spans[i][1]:
+            notices += 1
+            name = found[1].lower()
+            labels.update((f"name:{name}", f"name:{name}-{'.'.join(x for x in found.groups()[1:] if x)}"))
     evidence = len(starts) + notices + 2 * len(values)
     return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1 - 0.5**evidence, sum(values) / len(values) if values else None
 

@@ -234,3 +234,33 @@ def test_trie_of_odd_tables(spark):
     text = "é" * 300_000
     long = spark.createDataFrame([(1, 0, "u", text, 1, "", ""), (2, 0, "u", text, 1, "", ""), (3, 0, "u", text + "!", 1, "", "")], TURNS)
     assert {(r.conv_id, r.depth, r.saved_tokens) for r in conversation_trie.prefix_trie(long).collect()} == {(1, 0, 300_000), (1, 1, 300_000), (3, 1, 0)}
+
+
+def test_license_names_versions_and_boundaries():
+    from lexmill.llm import license_scan
+
+    find = license_scan.automaton().iter
+    labels = lambda text: set(license_scan.scan(text, find)[5].split(","))
+    assert {"name:lgpl", "name:lgpl-2.1"} <= labels("under the GNU Lesser General Public License version 2.1 or later")
+    assert {"name:bsd-3-clause"} <= labels("BSD-3-Clause license") and {"name:mpl", "name:mpl-2.0"} <= labels("MPL 2.0.") and "name:mpl" not in labels("an MPL of ours, 200 of them")
+    assert {"apache", "name:apache", "name:apache-2.0"} <= labels("Apache License, Version 2.0") and {"cc-by", "name:cc-by-4.0", "name:cc-by-sa"} <= labels("CC BY 4.0, CC BY-SA")
+    assert {"gpl", "name:gpl-3"} <= labels("GNU General Public License v3") and {"name:gpl-2"} <= labels("GPLv2 only")
+    assert labels("xspdx-license-identifier: FOO spdx-license-identifier: MIT") == {"spdx:mit"}
+    assert labels("the SPDX License Identifier is a tag") == {""} and labels("SPDX-License-Identifier:") == {"spdx:malformed"}
+
+
+def test_license_scan_is_linear_in_one_line():
+    import time
+
+    from lexmill.llm import license_scan
+
+    find = license_scan.automaton().iter
+    unit = "SPDX-License-Identifier: MIT OR (Apache-2.0 AND BSD-3-Clause) gnu general public license x "
+    took = []
+    for size in (600_000, 1_200_000, 2_400_000, 4_800_000):
+        text = unit * (size // len(unit))
+        began = time.process_time()
+        row = license_scan.scan(text, find)
+        took.append(time.process_time() - began)
+        assert row[1] == size // len(unit) and row[5].startswith("gpl,name:gpl,spdx:apache-2.0,spdx:bsd")
+    assert took[3] < 14 * max(took[0], 0.05)
