@@ -177,17 +177,17 @@ SQL["html_page_fields"] = "SELECT url, (len(regexp_extract_all(html, '<a[ >]')))
 
 
 def robots_gate(spark, sf) -> DataFrame:
-    """Parts as URLs on hosts of suppliers, whose robots files have a group of ours, or only one of all agents, or are not there."""
-    k = F.col("s_suppkey")
+    """Documents as URLs, four on a host; labels as the hosts' robots files, which have a group of ours, or only one of all agents, or are not there."""
+    k = F.col("doc_id")
     status = F.when(k % 7 == 0, 404).when(k % 7 == 1, 503).when(k % 7 > 2, 200)
     own = F.concat(F.lit("User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /p\n\nUser-agent: LexBot\nAllow: /p"), (k % 5).cast("string"), F.lit("\nDisallow: /p # parts"))
-    files = read(spark, sf, "supplier").select(F.concat(F.lit("https://h"), k.cast("string")).alias("host"), status.alias("status"), F.when(k % 2 == 0, own).otherwise("User-agent: *\r\nDisallow: /%70" + "1/").alias("body"))
-    n = F.col("p_partkey")
-    fetches = read(spark, sf, "part").select("p_partkey", F.concat(F.lit("https://h"), (n % 1200).cast("string"), F.lit("/p"), (F.col("p_size") % 10).cast("string"), F.lit("/x")).alias("url"))
+    host = lambda c: F.concat(F.lit("https://h"), c.cast("string"))
+    files = read(spark, sf, "labels").select("doc_id").distinct().select(host(k).alias("host"), status.alias("status"), F.when(k % 2 == 0, own).otherwise("User-agent: *\r\nDisallow: /%70" + "1/").alias("body"))
+    fetches = read(spark, sf, "documents").select("doc_id", F.concat(host(k - k % 4 + F.col("n_chars") % 2), F.lit("/p"), (F.col("n_chars") % 10).cast("string"), F.lit("/x")).alias("url"))
     return robots.verdicts(fetches, files, "LexBot/1.0").drop("url")
 
 
 QUERIES["src_robots_gate"] = robots_gate
-SQL["src_robots_gate"] = """WITH j AS (SELECT p_partkey, s_suppkey AS k, p_size % 10 AS d FROM part LEFT JOIN supplier ON s_suppkey = p_partkey % 1200),
+SQL["src_robots_gate"] = """WITH l AS (SELECT DISTINCT doc_id AS k FROM labels), j AS (SELECT doc_id, k, n_chars % 10 AS d FROM documents LEFT JOIN l ON k = doc_id - doc_id % 4 + n_chars % 2),
 v AS (SELECT *, CASE WHEN k % 7 > 2 THEN CASE WHEN k % 2 = 0 THEN d = k % 5 ELSE d <> 1 END ELSE true END AS ok FROM j)
-SELECT p_partkey, coalesce(k % 7 = 0 OR k % 7 > 2, false) AS observed, ok AS allowed, CASE WHEN k % 7 = 0 THEN 'no_robots_file' WHEN k % 7 = 1 THEN 'robots_unexpected_status_503' WHEN k % 7 > 2 THEN CASE WHEN ok THEN 'allowed' ELSE 'disallowed' END ELSE 'robots_fetch_failed' END AS notes FROM v"""
+SELECT doc_id, coalesce(k % 7 = 0 OR k % 7 > 2, false) AS observed, ok AS allowed, CASE WHEN k % 7 = 0 THEN 'no_robots_file' WHEN k % 7 = 1 THEN 'robots_unexpected_status_503' WHEN k % 7 > 2 THEN CASE WHEN ok THEN 'allowed' ELSE 'disallowed' END ELSE 'robots_fetch_failed' END AS notes FROM v"""

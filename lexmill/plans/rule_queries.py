@@ -34,60 +34,54 @@ FROM (SELECT *, s_suppkey IS NOT NULL AND s_suppkey % 5 > 0 AS ok FROM customer
 
 
 def patched_documents(spark, sf) -> DataFrame:
-    """Customers as nested records; suppliers as corrections of the customer of their number, of several operations each."""
-    c = read(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("ir_id"), F.to_json(F.struct(F.col("c_name").alias("name"), F.array(F.struct(F.col("c_mktsegment").alias("gloss")), F.struct(F.lit("b").alias("gloss"))).alias("senses"), F.struct(F.col("c_nationkey").alias("nation")).alias("meta"))).alias("document"))
-    k, op = F.col("s_suppkey"), lambda *x: F.struct(*[F.lit(v).cast(t).alias(n) if not hasattr(v, "alias") else v.alias(n) for v, (n, t) in zip(x, (("op", "string"), ("path", "string"), ("from", "string"), ("value", "string")))])
-    ops = F.when(k % 4 == 0, F.array(op("move", "/senses/0/name", "/name", None), op("add", "/senses/1", None, F.to_json(F.struct(F.col("s_name").alias("gloss")))))).when(k % 4 == 1, F.array(op("remove", "/senses/0", None, None), op("test", "/senses/0/gloss", None, '"b"'), op("copy", "/senses/-", "/meta", None)))
-    ops = ops.when(k % 4 == 2, F.array(op("replace", "/meta/nation", None, k.cast("string")), op("remove", "/none", None, None))).otherwise(F.array(op("test", "/meta/nation", None, "3.0"), op("replace", "/senses", None, "[]")))
-    p = read(spark, sf, "supplier").select(k.cast("string").alias("ir_id"), F.concat(F.lit("p"), (k % 3).cast("string")).alias("patch_id"), F.posexplode(ops).alias("seq", "o"), (k % 5 > 0).alias("approved")).select("ir_id", "patch_id", "seq", "o.*", "approved")
+    """Documents as nested records; labels as corrections of them, of several operations each."""
+    c = read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("ir_id"), F.to_json(F.struct(F.col("source").alias("name"), F.array(F.struct(F.col("lang").alias("gloss")), F.struct(F.lit("b").alias("gloss"))).alias("senses"), F.struct(F.col("n_chars").alias("size")).alias("meta")), {"ignoreNullFields": "false"}).alias("document"))
+    k, op = F.col("doc_id"), lambda *x: F.struct(*[F.lit(v).cast(t).alias(n) if not hasattr(v, "alias") else v.alias(n) for v, (n, t) in zip(x, (("op", "string"), ("path", "string"), ("from", "string"), ("value", "string")))])
+    ops = F.when(k % 4 == 0, F.array(op("move", "/senses/0/name", "/name", None), op("add", "/senses/1", None, F.to_json(F.struct(F.col("quality").alias("gloss")))))).when(k % 4 == 1, F.array(op("remove", "/senses/0", None, None), op("test", "/senses/0/gloss", None, '"b"'), op("copy", "/senses/-", "/meta", None)))
+    ops = ops.when(k % 4 == 2, F.array(op("replace", "/meta/size", None, k.cast("string")), op("remove", "/none", None, None))).otherwise(F.array(op("test", "/senses/0/gloss", None, '"en"'), op("replace", "/senses", None, "[]")))
+    p = read(spark, sf, "labels").select(k.cast("string").alias("ir_id"), F.concat(F.lit("p"), (k % 3).cast("string")).alias("patch_id"), F.posexplode(ops).alias("seq", "o"), (k % 5 > 0).alias("approved")).select("ir_id", "patch_id", "seq", "o.*", "approved")
     return patches.patched(c, p)
 
 
 QUERIES["opt_json_patch"] = patched_documents
-SQL["opt_json_patch"] = """WITH j AS (SELECT *, s_suppkey IS NOT NULL AND s_suppkey % 5 > 0 AS ok, s_suppkey % 4 AS m FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey),
-t AS (SELECT *, '"meta":{"nation":' || c_nationkey || '}' AS meta, '"name":"' || c_name || '"' AS name, '{"gloss":"' || c_mktsegment || '"}' AS a, ok AND (m = 2 OR m = 3 AND c_nationkey <> 3) AS failed FROM j)
-SELECT c_custkey::VARCHAR AS ir_id, CASE WHEN NOT ok OR failed THEN '{' || name || ',"senses":[' || a || ',{"gloss":"b"}],' || meta || '}' WHEN m = 0 THEN '{' || meta || ',"senses":[{"gloss":"' || c_mktsegment || '",' || name || '},{"gloss":"' || s_name || '"},{"gloss":"b"}]}'
-  WHEN m = 1 THEN '{' || meta || ',' || name || ',"senses":[{"gloss":"b"},{"nation":' || c_nationkey || '}]}' ELSE '{' || meta || ',' || name || ',"senses":[]}' END AS document, CASE WHEN failed THEN 'p' || s_suppkey % 3 END AS patch_error FROM t"""
+SQL["opt_json_patch"] = """WITH j AS (SELECT d.*, quality, l.doc_id IS NOT NULL AND l.doc_id % 5 > 0 AS ok, l.doc_id % 4 AS m, coalesce('"' || lang || '"', 'null') AS g FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+t AS (SELECT *, '"meta":{"size":' || n_chars || '}' AS meta, '"name":' || coalesce('"' || source || '"', 'null') AS name, ok AND (m = 2 OR m = 3 AND g <> '"en"') AS failed FROM j)
+SELECT doc_id::VARCHAR AS ir_id, CASE WHEN NOT ok OR failed THEN '{' || name || ',"senses":[{"gloss":' || g || '},{"gloss":"b"}],' || meta || '}' WHEN m = 0 THEN '{' || meta || ',"senses":[{"gloss":' || g || ',' || name || '},{"gloss":' || quality || '},{"gloss":"b"}]}'
+  WHEN m = 1 THEN '{' || meta || ',' || name || ',"senses":[{"gloss":"b"},{"size":' || n_chars || '}]}' ELSE '{' || meta || ',' || name || ',"senses":[]}' END AS document, CASE WHEN failed THEN 'p' || doc_id % 3 END AS patch_error FROM t"""
 
 
 def fragments(spark, sf) -> DataFrame:
-    """Parts as places on scanned pages: the hash of each one's locator, and of the bytes of its name."""
-    k = F.col("p_partkey")
-    pointer = F.struct(F.lit("part").alias("source_id"), F.md5("p_name").alias("snapshot_id"), F.col("p_size").alias("page_number"), F.when(k % 4 > 0, k % 4 * 90).alias("rotation_degrees"), F.array(F.col("p_size") / 8.0, (k % 1000) / 64.0, F.lit(1.0), F.lit(1e21) * (k + 1)).cast("array<double>").alias("bbox"), F.when(k % 3 > 0, F.concat("p_name", F.lit('\t"\u0001\\'))).alias("pdf_text_quote"))
-    parts = read(spark, sf, "part").select("p_partkey", pointer.alias("pointer"), F.encode("p_name", "UTF-8").alias("content"))
-    return parts.select("p_partkey", canonical.locator_hash(F.col("pointer"), parts.schema["pointer"].dataType).alias("locator_hash"), canonical.span_hash(F.col("content"), F.lit(1), F.lit(4)).alias("span_hash"))
+    """Documents as places on scanned pages: the hash of each one's locator, and of the first bytes of its text."""
+    k, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    pointer = F.struct(F.col("source").alias("source_id"), F.md5(text).alias("snapshot_id"), F.col("n_chars").alias("page_number"), F.when(k % 4 > 0, k % 4 * 90).alias("rotation_degrees"), F.array(F.col("n_chars") / 8.0, (k % 1000) / 64.0, F.lit(1.0), F.lit(1e21) * (k + 1)).cast("array<double>").alias("bbox"), F.when(k % 3 > 0, F.concat("lang", F.lit('\t"\u0001\\'))).alias("pdf_text_quote"))
+    docs = read(spark, sf, "documents").select("doc_id", pointer.alias("pointer"), F.encode(text, "UTF-8").alias("content"))
+    return docs.select("doc_id", canonical.locator_hash(F.col("pointer"), docs.schema["pointer"].dataType).alias("locator_hash"), canonical.span_hash(F.col("content"), F.lit(0), F.octet_length("content")).alias("span_hash"))
 
 
 QUERIES["fn_fragment_hash"] = fragments
-SQL["fn_fragment_hash"] = r"""SELECT p_partkey, 'sha256:' || sha256('{"bbox":[' || regexp_replace((p_size / 8.0::DOUBLE)::VARCHAR, '\.0$', '') || ',' || regexp_replace((p_partkey % 1000 / 64.0::DOUBLE)::VARCHAR, '\.0$', '') || ',1,' || rtrim(rtrim(((p_partkey + 1) / 10 ** (length((p_partkey + 1)::VARCHAR) - 1))::DECIMAL(18, 12)::VARCHAR, '0'), '.') || 'e+' || (20 + length((p_partkey + 1)::VARCHAR)) || '],"fragment_representation_kind":"locator_jcs_v1","page_number":' || p_size
-  || CASE WHEN p_partkey % 3 > 0 THEN ',"pdf_text_quote":"' || p_name || '\t\"\u0001\\"' ELSE '' END || CASE WHEN p_partkey % 4 > 0 THEN ',"rotation_degrees":' || p_partkey % 4 * 90 ELSE '' END || ',"snapshot_id":"' || md5(p_name) || '","source_id":"part"}') AS locator_hash,
-  'sha256:' || sha256(substr(p_name, 2, 3)) AS span_hash FROM part"""
+SQL["fn_fragment_hash"] = r"""SELECT doc_id, 'sha256:' || sha256('{"bbox":[' || regexp_replace((n_chars / 8.0::DOUBLE)::VARCHAR, '\.0$', '') || ',' || regexp_replace((doc_id % 1000 / 64.0::DOUBLE)::VARCHAR, '\.0$', '') || ',1,' || rtrim(rtrim(((doc_id + 1) / 10 ** (length((doc_id + 1)::VARCHAR) - 1))::DECIMAL(18, 12)::VARCHAR, '0'), '.') || 'e+' || (20 + length((doc_id + 1)::VARCHAR)) || '],"fragment_representation_kind":"locator_jcs_v1","page_number":' || n_chars
+  || CASE WHEN doc_id % 3 > 0 AND lang IS NOT NULL THEN ',"pdf_text_quote":"' || lang || '\t\"\u0001\\"' ELSE '' END || CASE WHEN doc_id % 4 > 0 THEN ',"rotation_degrees":' || doc_id % 4 * 90 ELSE '' END || ',"snapshot_id":"' || md5(coalesce(text, '')) || '"' || coalesce(',"source_id":"' || source || '"', '') || '}') AS locator_hash,
+  'sha256:' || sha256(coalesce(text, '')) AS span_hash FROM documents"""
 
 
 def derivations(spark, sf) -> DataFrame:
-    """Lines derived from their order and supplier, orders from their customer, some customers from each other: the nearest licence and all sources."""
-    text = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
-    orders, customer, supplier = (read(spark, sf, t) for t in ("orders", "customer", "supplier"))
-    line = F.concat(F.lit("l"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
-    lineitem = read(spark, sf, "lineitem")
-    none = F.lit(None).cast("string")
-    records = lineitem.select(line.alias("id"), none.alias("license"), none.alias("source_id"))
-    records = records.unionByName(orders.select(text("o", "o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")).alias("license"), F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("s"), (F.col("o_custkey") % 7).cast("string"))).alias("source_id")))
-    records = records.unionByName(customer.select(text("c", "c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("license"), F.lit("customer").alias("source_id")))
-    records = records.unionByName(supplier.select(text("p", "s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 5 == 0, F.col("s_name")).alias("license"), F.lit("supplier").alias("source_id")))
-    c = F.col("c_custkey")
-    edges = lineitem.select(line.alias("id"), text("o", "l_orderkey").alias("input")).unionByName(lineitem.select(line.alias("id"), text("p", "l_suppkey").alias("input"))).unionByName(orders.select(text("o", "o_orderkey").alias("id"), text("c", "o_custkey").alias("input")))
-    edges = edges.unionByName(customer.where(c % 100 < 2).select(text("c", "c_custkey").alias("id"), F.concat(F.lit("c"), (c - c % 100 * 2 + 1).cast("string")).alias("input")))
+    """Documents derived from the first of their ten, those from the first of their hundred, those from their source, some from each other: the nearest licence and all sources."""
+    docs, k = read(spark, sf, "documents").select("doc_id", "source", "lang"), F.col("doc_id")
+    named = lambda c: F.concat(F.lit("d"), c.cast("string"))
+    source = F.concat(F.lit("s"), "source")
+    records = docs.select(named(k).alias("id"), F.when(k % 3 == 0, F.col("lang")).alias("license"), F.when(k % 4 == 0, F.col("source")).alias("source_id"))
+    records = records.unionByName(docs.select("source").distinct().select(source.alias("id"), F.concat(F.lit("lic-"), "source").alias("license"), F.col("source").alias("source_id")))
+    edges = docs.select(named(k).alias("id"), F.when(k % 10 > 0, named(k - k % 10)).when(k % 100 > 0, named(k - k % 100)).otherwise(source).alias("input"))
+    edges = edges.unionByName(docs.where("doc_id % 100 IN (1, 2)").select(named(k).alias("id"), named(k - k % 100 * 2 + 3).alias("input")))
     return provenance.with_provenance(records, edges, ["license"]).select("id", "license.value", "license.origin", "license.steps", F.array_join("sources", ",").alias("sources"), "cyclic")
 
 
 QUERIES["jn_derivation"] = derivations
-SQL["jn_derivation"] = """WITH RECURSIVE r AS (SELECT DISTINCT 'l' || l_orderkey || '-' || l_linenumber AS id, NULL AS license, NULL AS source_id FROM lineitem
-  UNION ALL SELECT 'o' || o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END, CASE WHEN o_orderkey % 4 = 0 THEN 's' || o_custkey % 7 END FROM orders
-  UNION ALL SELECT 'c' || c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END, 'customer' FROM customer UNION ALL SELECT 'p' || s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN s_name END, 'supplier' FROM supplier),
-e AS (SELECT x.id, input FROM (SELECT 'l' || l_orderkey || '-' || l_linenumber AS id, 'o' || l_orderkey AS input FROM lineitem UNION SELECT 'l' || l_orderkey || '-' || l_linenumber, 'p' || l_suppkey FROM lineitem UNION SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders
-  UNION SELECT 'c' || c_custkey, 'c' || c_custkey - c_custkey % 100 * 2 + 1 FROM customer WHERE c_custkey % 100 < 2) x JOIN r ON r.id = input),
-w(id, up, steps) AS (SELECT id, id, 0 FROM r UNION SELECT w.id, e.input, steps + 1 FROM w JOIN e ON e.id = w.up WHERE steps < 4),
+SQL["jn_derivation"] = """WITH RECURSIVE r AS (SELECT 'd' || doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN lang END AS license, CASE WHEN doc_id % 4 = 0 THEN source END AS source_id FROM documents
+  UNION ALL SELECT DISTINCT 's' || source, 'lic-' || source, source FROM documents WHERE source IS NOT NULL),
+e AS (SELECT x.id, input FROM (SELECT 'd' || doc_id AS id, CASE WHEN doc_id % 10 > 0 THEN 'd' || (doc_id - doc_id % 10) WHEN doc_id % 100 > 0 THEN 'd' || (doc_id - doc_id % 100) ELSE 's' || source END AS input FROM documents
+  UNION SELECT 'd' || doc_id, 'd' || (doc_id - doc_id % 100 * 2 + 3) FROM documents WHERE doc_id % 100 IN (1, 2)) x JOIN r ON r.id = input),
+w(id, up, steps) AS (SELECT id, id, 0 FROM r UNION SELECT w.id, e.input, steps + 1 FROM w JOIN e ON e.id = w.up WHERE steps < 6),
 n AS (SELECT w.id, arg_min(license, (steps, up)) AS value, arg_min(up, (steps, up)) AS origin, min(steps) AS steps FROM w JOIN r ON r.id = w.up WHERE license IS NOT NULL GROUP BY w.id),
 s AS (SELECT w.id, string_agg(DISTINCT source_id, ',' ORDER BY source_id) AS sources FROM w JOIN r ON r.id = w.up WHERE source_id IS NOT NULL GROUP BY w.id),
 y AS (SELECT DISTINCT id FROM w WHERE id = up AND steps > 0)

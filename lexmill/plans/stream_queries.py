@@ -28,23 +28,23 @@ def stream_capture_states(spark, sf) -> DataFrame:
     return spark.read.parquet(f"{target}/rows").select("id", "url", "previous_sha256", "crawl_status")
 
 
-EVENT = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("event_id", T.LongType()), T.StructField("event_type", T.StringType())])
+TURN = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("role", T.StringType())])
 
 
 def _imported(spark, sf) -> str:
-    """Events as JSON lines imported as a stream, the even ones first, then the odd ones as more files: of a user the last line stays."""
+    """Turns as JSON lines imported as a stream, the even ones first, then the odd ones as more files: of a conversation the last line stays."""
     target = folders.scratch(spark)
-    events = read(spark, sf, "events").withColumn("bucket", F.pmod("user_id", F.lit(16)))
+    turns = read(spark, sf, "conversations").withColumn("bucket", F.expr("conv_id div 500"))
     for half in (0, 1):
-        some = events.where(F.col("event_id") % 2 == half).repartition(16, "bucket").sortWithinPartitions("bucket", "event_id")
-        some.select("bucket", F.to_json(F.struct(*EVENT.names)).alias("value")).write.partitionBy("bucket").text(f"{target}/in/half={half}")
-        source = lines.json_rows(lines.stream_lines(spark, f"{target}/in"), EVENT, "path", "byte_start", "byte_length")
-        captures.import_rows(source, f"{target}/rows", ["user_id"], f"{target}/checkpoint", ["path", "byte_start"], progress=f"{target}/progress", size="byte_length").awaitTermination()
+        some = turns.where(F.col("turn") % 2 == half).repartition("bucket").sortWithinPartitions("bucket", "conv_id", "turn")
+        some.select("bucket", F.to_json(F.struct(*TURN.names)).alias("value")).write.partitionBy("bucket").text(f"{target}/in/half={half}")
+        source = lines.json_rows(lines.stream_lines(spark, f"{target}/in"), TURN, "path", "byte_start", "byte_length")
+        captures.import_rows(source, f"{target}/rows", ["conv_id"], f"{target}/checkpoint", ["path", "byte_start"], progress=f"{target}/progress", size="byte_length").awaitTermination()
     return target
 
 
 def stream_import(spark, sf) -> DataFrame:
-    return captures.latest_rows(spark.read.parquet(f"{_imported(spark, sf)}/rows"), ["user_id"])
+    return captures.latest_rows(spark.read.parquet(f"{_imported(spark, sf)}/rows"), ["conv_id"])
 
 
 def stream_progress(spark, sf) -> DataFrame:
@@ -52,11 +52,11 @@ def stream_progress(spark, sf) -> DataFrame:
 
 
 def _files_of_lines(spark, sf) -> str:
-    """Documents as lines of 64 files, in the order of doc_id, with carriage returns and, before every tenth, a blank line."""
+    """Documents as lines of files of a thousand each, in the order of doc_id, with carriage returns and, before every tenth, a blank line."""
     at = folders.scratch(spark)
     line = F.concat(F.lit('{"doc_id":'), F.col("doc_id").cast("string"), F.lit(',"sha256":"'), F.sha2(F.coalesce("text", F.lit("")), 256), F.lit('"}'))
-    docs = read(spark, sf, "documents").select("doc_id", F.pmod("doc_id", F.lit(64)).alias("bucket"), F.concat(F.when(F.col("doc_id") % 10 == 3, "  \r\n").otherwise(""), line, F.lit("\r")).alias("value"))
-    docs.repartition(64, "bucket").sortWithinPartitions("bucket", "doc_id").select("bucket", "value").write.partitionBy("bucket").text(at)
+    docs = read(spark, sf, "documents").select("doc_id", F.expr("doc_id div 1000").alias("bucket"), F.concat(F.when(F.col("doc_id") % 10 == 3, "  \r\n").otherwise(""), line, F.lit("\r")).alias("value"))
+    docs.repartition("bucket").sortWithinPartitions("bucket", "doc_id").select("bucket", "value").write.partitionBy("bucket").text(at)
     return at
 
 
@@ -76,7 +76,8 @@ def line_numbers(spark, sf) -> DataFrame:
 
 def probe_of_some(spark, sf) -> DataFrame:
     """The first hundred lines of each file: how many parse, and how many are blank."""
-    return bundles.probe(lines.numbered_lines(spark, _files_of_lines(spark, sf), rangebytes=1 << 20, keepblank="true"), max_lines=100)
+    found = lines.numbered_lines(spark, _files_of_lines(spark, sf), rangebytes=1 << 20, keepblank="true")
+    return bundles.probe(found.withColumn("bucket", F.regexp_extract("path", "bucket=([0-9]+)", 1).cast("long")), 100, ["bucket"])
 
 
 def installed_search(spark, sf) -> DataFrame:
@@ -222,19 +223,19 @@ def store_cancel(spark, sf) -> DataFrame:
 QUERIES["stream_capture_states"] = stream_capture_states
 SQL["stream_capture_states"] = report_queries.SQL["win_prev_snapshot"]
 QUERIES["snk_idb_batch"] = stream_import
-SQL["snk_idb_batch"] = "SELECT user_id, arg_max(event_id, (event_id % 2, event_id)) AS event_id, arg_max(event_type, (event_id % 2, event_id)) AS event_type FROM events GROUP BY user_id"
+SQL["snk_idb_batch"] = "SELECT conv_id, arg_max(turn, (turn % 2, turn)) AS turn, arg_max(role, (turn % 2, turn)) AS role FROM conversations GROUP BY conv_id"
 QUERIES["stream_progress"] = stream_progress
-SQL["stream_progress"] = """WITH b AS (SELECT event_id % 2 AS batch, count(*) AS lines, sum(length('{"user_id":' || user_id || ',"event_id":' || event_id || ',"event_type":"' || event_type || '"}'))::BIGINT AS bytes, count(DISTINCT user_id) AS rows FROM events GROUP BY 1)
+SQL["stream_progress"] = """WITH b AS (SELECT turn % 2 AS batch, count(*) AS lines, sum(length('{"conv_id":' || conv_id || ',"turn":' || turn || ',"role":"' || role || '"}'))::BIGINT AS bytes, count(DISTINCT conv_id) AS rows FROM conversations GROUP BY 1)
 SELECT batch, lines, bytes, rows, (sum(lines) OVER w)::BIGINT AS lines_so_far, (sum(bytes) OVER w)::BIGINT AS bytes_so_far, (sum(rows) OVER w)::BIGINT AS rows_so_far FROM b WINDOW w AS (ORDER BY batch)"""
-_LINES = """WITH l AS (SELECT doc_id, doc_id % 64 AS bucket, sha256(coalesce(text, '')) AS sha256, CASE WHEN doc_id % 10 = 3 THEN 2 ELSE 1 END AS n, length(doc_id::VARCHAR) + 88 AS byte_length FROM documents),
+_LINES = """WITH l AS (SELECT doc_id, doc_id // 1000 AS bucket, sha256(coalesce(text, '')) AS sha256, CASE WHEN doc_id % 10 = 3 THEN 2 ELSE 1 END AS n, length(doc_id::VARCHAR) + 88 AS byte_length FROM documents),
 p AS (SELECT *, sum(n) OVER w AS line_no, sum(byte_length + 1 + 4 * (n - 1)) OVER w - byte_length - 1 AS byte_start FROM l WINDOW w AS (PARTITION BY bucket ORDER BY doc_id))"""
 QUERIES["src_jsonl_stream"] = streamed_lines
 SQL["src_jsonl_stream"] = f"{_LINES} SELECT doc_id, sha256, byte_start::BIGINT AS byte_start, byte_length FROM p"
 QUERIES["win_line_no"] = line_numbers
 SQL["win_line_no"] = f"{_LINES} SELECT doc_id, sha256, line_no::BIGINT AS line_no FROM p"
 QUERIES["lim_probe"] = probe_of_some
-SQL["lim_probe"] = f"""{_LINES}, f AS (SELECT line_no, 0 AS blank FROM p UNION ALL SELECT line_no - 1, 1 FROM p WHERE n = 2)
-SELECT count(*) AS lines, count(*) FILTER (blank = 0) AS parsed, 0::BIGINT AS errors, count(*) FILTER (blank = 1) AS blank FROM f WHERE line_no <= 100"""
+SQL["lim_probe"] = f"""{_LINES}, f AS (SELECT bucket, line_no, 0 AS blank FROM p UNION ALL SELECT bucket, line_no - 1, 1 FROM p WHERE n = 2)
+SELECT bucket, count(*) AS lines, count(*) FILTER (blank = 0) AS parsed, 0::BIGINT AS errors, count(*) FILTER (blank = 1) AS blank FROM f WHERE line_no <= 100 GROUP BY bucket"""
 QUERIES["txn_install"] = installed_search
 SQL["txn_install"] = record_queries.SQL["jn_ladder_lookup"]
 QUERIES["val_bundle"] = bundle_check
