@@ -131,3 +131,32 @@ QUERIES["prj_result_summary"] = lambda s, d: enriched(s, d).where("display IS NO
 SQL["prj_result_summary"] = f"WITH {_LABELS} SELECT doc_id AS ir_id, coalesce(nullif(str_split(display, '/')[2], '0'), '') AS pos, str_split(display, '/')[1] AS translation FROM documents JOIN disp ON doc_id = ir_id"
 QUERIES["norm_digest_all"] = lambda s, d: normalized(s, d).select("ir_id", *[F.md5(F.array_join(f"search_keys.{n}", "|")).alias(n) for n in norm.KEYS])
 SQL["norm_digest_all"] = f"WITH {_UNITS} SELECT ir_id, " + ", ".join(f"md5(array_to_string(list_filter(list_transform(forms, lambda x: {k('x')}), lambda k, i: k <> '' AND list_position(list_transform(forms, lambda x: {k('x')}), k) = i), '|')) AS {n}" for n, k in SQL_KEYS.items()) + " FROM units"
+
+
+def by_source(spark, sf) -> DataFrame:
+    """Documents as records named by their source, so some keys are those of very many records."""
+    name = F.coalesce("source", F.lit("none"))
+    unit = read(spark, sf, "documents").select(identity.ir_id(F.lit("doc"), F.col("lang"), F.col("doc_id"), F.lit("v3")).alias("ir_id"), F.lit("lexicon_entry").alias("ir_kind"), F.lit("doc").alias("source_id"), F.concat(F.lit("S\u00e9rie "), name).alias("headword"), F.lit(None).cast("array<string>").alias("anchors"), F.lit(None).cast("string").alias("term"))
+    return records.normalized(unit)
+
+
+def posting_blocks(spark, sf) -> DataFrame:
+    return search.posting_blocks(by_source(spark, sf), 500).select("key_type", "key", "block", F.size("ir_ids").alias("ids"), F.md5(F.array_join("ir_ids", ",")).alias("digest"))
+
+
+def blocked_search(spark, sf) -> DataFrame:
+    """Spellings of every source, searched in the blocks."""
+    names = read(spark, sf, "documents").select(F.coalesce("source", F.lit("none")).alias("s")).distinct()
+    queries = names.select(F.col("s").alias("query_id"), F.concat(F.lit("SERIE "), F.upper("s")).alias("query")).unionByName(names.select(F.concat(F.lit("x"), "s").alias("query_id"), F.concat(F.lit("nothing "), "s").alias("query")))
+    found = search.blocked_lookup(queries, search.posting_blocks(by_source(spark, sf), 500))
+    return found.select("query_id", "matched_key_type", "matched_key", "block", F.size("ir_ids").alias("ids"), F.md5(F.array_join("ir_ids", ",")).alias("digest"))
+
+
+_BLOCKS = "WITH u AS (SELECT substr(sha256('doc|' || coalesce(lang, '') || '|' || doc_id || '|v3'), 1, 16) AS ir_id, 'S\u00e9rie ' || coalesce(source, 'none') AS f FROM documents), k AS (" + " UNION ".join(f"SELECT '{n}' AS key_type, {k('f')} AS key, ir_id FROM u" for n, k in SQL_KEYS.items()) + """),
+n AS (SELECT key_type, key, count(*) AS n FROM k WHERE key <> '' GROUP BY ALL),
+b AS (SELECT key_type, key, CASE WHEN n > 500 THEN ('0x' || substr(ir_id, 1, 8))::BIGINT * ceil(n / 500.0)::BIGINT // 4294967296 ELSE 0 END AS block, count(*)::INT AS ids, md5(string_agg(ir_id, ',' ORDER BY ir_id)) AS digest FROM k JOIN n USING (key_type, key) GROUP BY ALL)"""
+QUERIES["agg_posting_blocks"] = posting_blocks
+SQL["agg_posting_blocks"] = f"{_BLOCKS} SELECT key_type, key, block, ids, digest FROM b"
+QUERIES["jn_blocked_lookup"] = blocked_search
+SQL["jn_blocked_lookup"] = f"""{_BLOCKS}, q AS (SELECT DISTINCT coalesce(source, 'none') AS query_id, 'serie ' || lower(coalesce(source, 'none')) AS key FROM documents)
+SELECT query_id, key_type AS matched_key_type, b.key AS matched_key, block, ids, digest FROM q JOIN b ON b.key = q.key AND key_type = 'diacritics_insensitive' UNION ALL SELECT 'x' || query_id, NULL, NULL, NULL, NULL, NULL FROM q"""

@@ -27,6 +27,24 @@ def test_ladder(spark, normalized):
     assert got == {0: ("casefold", ["cccc"]), 1: ("diacritics_insensitive", ["aaaa", "cccc"]), 2: ("nospace", ["eeee"]), 3: (None, None), 4: (None, None), 5: ("punct_stripped", ["aaaa", "cccc"])}
 
 
+def test_posting_blocks_hold_the_index(spark):
+    """A key of all records is many blocks; together they are the plain index, in order where ids are hashes."""
+    units = spark.range(5000).select(F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 16).alias("ir_id"), F.lit("index_mapping").alias("ir_kind"), F.lit("s").alias("source_id"), F.lit(None).cast("string").alias("headword"), F.lit(None).cast("array<string>").alias("anchors"), F.when(F.col("id") % 50 == 0, "rare").otherwise("hot").alias("term"))
+    odd = units.limit(300).withColumn("ir_id", F.concat(F.lit("z"), "ir_id"))
+    records_ = records.normalized(units.unionByName(odd))
+    blocks = search.posting_blocks(records_, 100)
+    want = {(r.key_type, r.key): r.ir_ids for r in search.inverted_index(records_).collect()}
+    got: dict = {}
+    for r in sorted(blocks.collect(), key=lambda r: (r.key_type, r.key, r.block)):
+        assert r.ir_ids == sorted(r.ir_ids) and len(r.ir_ids) < 200
+        got.setdefault((r.key_type, r.key), []).extend(r.ir_ids)
+    assert {k: sorted(v) for k, v in got.items()} == want
+    assert [x for x in got["casefold", "hot"] if x[0] != "z"] == [x for x in want["casefold", "hot"] if x[0] != "z"]
+    found = search.blocked_lookup(spark.createDataFrame([(1, "H\u00d3T"), (2, "none"), (3, " ")], "query_id int, query string"), blocks).collect()
+    assert sorted(x for r in found if r.query_id == 1 for x in r.ir_ids) == want["casefold", "hot"] and {r.matched_key_type for r in found if r.query_id == 1} == {"diacritics_insensitive"}
+    assert [(r.block, r.ir_ids) for r in found if r.query_id > 1] == [(None, None)] * 2
+
+
 def test_resolve_keeps_order_and_drops_missing(spark, normalized):
     m = spark.createDataFrame([(1, ["eeee", "zzzz", "aaaa"])], "query_id long, ir_ids array<string>")
     assert [r.ir_id for r in search.resolved(m, normalized).orderBy("pos").collect()] == ["eeee", "aaaa"]
