@@ -264,3 +264,20 @@ def test_license_scan_is_linear_in_one_line():
         took.append(time.process_time() - began)
         assert row[1] == size // len(unit) and row[5].startswith("gpl,name:gpl,spdx:apache-2.0,spdx:bsd")
     assert took[3] < 14 * max(took[0], 0.05)
+
+
+def test_language_by_ranges_of_grams(spark):
+    """Filters beyond the bytes that may be broadcast are met range by range; the rows stay."""
+    from lexmill.llm import language_id
+
+    r = random.Random(6)
+    letters = {"aa": [chr(c) for c in range(0x4E00, 0x4E00 + 24)], "bb": [chr(c) for c in range(0x4E00 + 8, 0x4E00 + 32)], "cc": list("abcdefghijk ")}
+    prose = lambda k, n: "".join(r.choice(letters[k]) for _ in range(n))
+    train = spark.createDataFrame([(prose(k, 3000), k) for k in letters for _ in range(12)], "text string, lang string")
+    docs = spark.createDataFrame([(i, prose(k, 120)) for i, k in enumerate(list(letters) * 15)] + [(90, None), (91, "12"), (0, "abc"), (None, prose("cc", 50)), (92, "x")], "doc_id long, text string")
+    one = sorted((repr(x.doc_id), x.lang_pred, round(x.score, 2)) for x in language_id.language_id(docs, train).collect())
+    learned = language_id.Learned(train, language_id.SHARES, 1 << 15)
+    assert learned.ranges > 1 and learned.words * learned.size <= 1 << 15
+    many = sorted((repr(x.doc_id), x.lang_pred, round(x.score, 2)) for x in language_id.language_id(docs, train, most=1 << 15).collect())
+    assert [x[:2] for x in many] == [x[:2] for x in one] and len(many) == 50
+    assert all(abs(a[2] - b[2]) <= 0.05 for a, b in zip(one, many))
