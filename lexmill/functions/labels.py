@@ -48,5 +48,15 @@ def human_bytes(n: Column) -> Column:
     return F.when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B"))).when(n < 1024**2, scaled(1, "KB")).when(n < 1024**3, scaled(2, "MB")).otherwise(scaled(3, "GB"))
 
 
+def human_ms(ms: Column) -> Column:
+    """Milliseconds, rounded, with their unit."""
+    return F.concat(F.round(ms.cast("double")).cast("long").cast("string"), F.lit(" ms"))
+
+
+def crawl_id(source: Column, at: Column, suffix: Column) -> Column:
+    """A crawl's id: time to the millisecond (the session's time zone must be UTC), four hex digits against collisions, source."""
+    return F.concat_ws("_", F.lit("crawl"), F.date_format(at, "yyyyMMdd_HHmmss_SSS"), F.lower(F.lpad(F.right(suffix, F.lit(4)), 4, "0")), source)
+
+
 def language_label(label: Column, code: Column, default: str) -> Column:
     return F.coalesce(F.nullif(F.trim(label), F.lit("")), F.upper(F.nullif(F.trim(code), F.lit(""))), F.lit(default))

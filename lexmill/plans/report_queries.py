@@ -176,6 +176,58 @@ QUERIES["html_page_fields"] = lambda s, d: pages.parsed(read(s, d, "pages"), pag
 SQL["html_page_fields"] = "SELECT url, (len(regexp_extract_all(html, '<a[ >]')))::INT AS links, length(trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')))::INT AS title, length(trim(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&')))::INT AS h1 FROM pages"
 
 
+def _pages_of(rows: DataFrame, kind: str, begin: str = "", end: str = "") -> DataFrame:
+    """Pages (url, html) of a hundred rows (doc_id, e) each."""
+    page = rows.groupBy(F.expr("doc_id div 100").alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "e"))), lambda x: x.e), "\n").alias("e"))
+    return page.select(F.concat(F.lit(f"https://dict.example/{kind}/"), F.col("page").cast("string"), F.lit(".htm")).alias("url"), F.concat(F.lit(begin), "e", F.lit(end)).alias("html"))
+
+
+def _entry_pages(spark, sf) -> DataFrame:
+    """Documents as entries of one to three senses, each with an example of a named source, variants, and a sub-entry where doc_id is even."""
+    k = F.col("doc_id").cast("string")
+    sense = lambda i: F.concat(F.lit('<p class="lxP2"><span class="SnsN">'), i, F.lit(')</span><div class="GlFr">fr'), i, F.lit('</div><span class="Exe">ex &amp; '), i, F.lit(" ["), F.coalesce("source", F.lit("?")), F.lit(']</span><div class="GlFr">trad'), i, F.lit('</div><span class="Mnhsynm"><a>s'), k, F.lit("</a><a>s0</a></span></p>"))
+    senses = F.array_join(F.transform(F.sequence(F.lit(1), (F.col("doc_id") % 3 + 1).cast("int")), lambda i: sense(i.cast("string"))), "")
+    sub = F.when(F.col("doc_id") % 2 == 0, '<p class="lxP2"><span class="SnsN">\u2192</span><span class="MXRef">sub</span><div class="GlFr">sfr</div></p>').otherwise("")
+    head = F.concat(F.lit('<p class="lxP"><span class="Lxe" id="e'), k, F.lit('">mot '), k, F.lit('</span><span class="PS">adj. q</span><b class="clnknt"><a>'), F.col("n_chars").cast("string"), F.lit(' occ</a></b><span class="Mnhvam"><a class="MXRef">v'), k, F.lit('</a><a class="MXRef">w</a><a class="MXRef">w</a></span></p>'))
+    return _pages_of(read(spark, sf, "documents").select("doc_id", F.concat(head, senses, sub).alias("e")), "lexicon", "<html><body>", "</body></html>")
+
+
+def _index_pages(spark, sf) -> DataFrame:
+    """Documents as rows of index pages, which lead to their own entry, to the next one, and some nowhere."""
+    link = lambda n: F.concat(F.lit('<a class="IxBm" href="../lexicon/'), F.expr("doc_id div 100").cast("string"), F.lit(".htm#e"), n.cast("string"), F.lit('">x</a>'))
+    k = F.col("doc_id")
+    row = F.concat(F.lit('<tr><td><span class="IxFr">terme '), k.cast("string"), F.lit("</span></td><td>"), F.when(k % 7 > 0, F.concat(link(k), link(k + 1), link(k))).otherwise(""), F.when(k % 5 == 0, '<a class="IeBm" href="bad.htm">y</a>').otherwise(""), F.lit("</td></tr>"))
+    return _pages_of(read(spark, sf, "documents").select("doc_id", row.alias("e")), "index", '<div id="basfr"><table>', "</table></div>")
+
+
+def html_senses(spark, sf) -> DataFrame:
+    entries = pages.lexicon(_entry_pages(spark, sf))
+    rows = entries.select("entry_id", "headword", "pos_hint", "corpus_count", F.array_join("variants", ",").alias("variants"), F.posexplode("senses").alias("place", "s"))
+    return rows.select("entry_id", "headword", "pos_hint", "corpus_count", "variants", "place", "s.sense_num", "s.gloss_fr", F.array_join("s.synonyms_raw", ",").alias("synonyms"), F.size("s.sub_entries").alias("subs"), F.get("s.sub_entries", F.lit(0)).getField("text").alias("sub"))
+
+
+def html_examples(spark, sf) -> DataFrame:
+    rows = pages.lexicon(_entry_pages(spark, sf)).select("entry_id", F.explode("senses").alias("s"))
+    return rows.select("entry_id", "s.sense_num", F.explode("s.examples").alias("x")).select("entry_id", "sense_num", "x.text_latin", "x.source_attribution", "x.trans_fr", "x.trans_en")
+
+
+_SENSES = "s AS (SELECT *, i::INT AS i, 'e' || doc_id AS entry_id FROM documents, unnest(range(1, doc_id % 3 + 2)) AS t(i))"
+QUERIES["html_senses"] = html_senses
+SQL["html_senses"] = f"""WITH {_SENSES} SELECT entry_id, 'mot ' || doc_id AS headword, NULL AS pos_hint, n_chars::INT AS corpus_count, 'v' || doc_id || ',w' AS variants, i - 1 AS place, i AS sense_num, 'fr' || i AS gloss_fr, CASE WHEN doc_id = 0 THEN 's0' ELSE 's' || doc_id || ',s0' END AS synonyms,
+  CASE WHEN doc_id % 2 = 0 AND i = doc_id % 3 + 1 THEN 1 ELSE 0 END AS subs, CASE WHEN doc_id % 2 = 0 AND i = doc_id % 3 + 1 THEN 'sub' END AS sub FROM s"""
+QUERIES["html_examples"] = html_examples
+SQL["html_examples"] = f"WITH {_SENSES} SELECT entry_id, i AS sense_num, 'ex & ' || i AS text_latin, '[' || coalesce(source, '?') || ']' AS source_attribution, 'trad' || i AS trans_fr, NULL AS trans_en FROM s"
+QUERIES["html_index_rows"] = lambda s, d: pages.mappings(_index_pages(s, d)).select("url", "entry_index", "term", F.array_join(F.transform("targets", lambda t: t.anchor), ",").alias("anchors"), F.array_join("warnings", ",").alias("warnings"), "ir_id")
+SQL["html_index_rows"] = """WITH i AS (SELECT *, (doc_id // 100)::VARCHAR AS page, (row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) - 1)::INT AS entry_index FROM documents)
+SELECT 'https://dict.example/index/' || page || '.htm' AS url, entry_index, 'terme ' || doc_id AS term, CASE WHEN doc_id % 7 > 0 THEN 'e' || doc_id || ',e' || (doc_id + 1) ELSE '' END AS anchors,
+  concat_ws(',', CASE WHEN doc_id % 5 = 0 THEN 'unparseable_href: bad.htm' END, CASE WHEN doc_id % 7 = 0 THEN 'no_target_entries' END) AS warnings, substr(sha256('source|https://dict.example/index/' || page || '.htm|' || entry_index || '|index_v1'), 1, 16) AS ir_id FROM i"""
+QUERIES["jn_target_ref"] = lambda s, d: pages.resolved_targets(pages.mappings(_index_pages(s, d)), pages.lexicon(_entry_pages(s, d))).select("ir_id", "page", "anchor", "target")
+SQL["jn_target_ref"] = """WITH i AS (SELECT *, (doc_id // 100)::VARCHAR AS page, (row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) - 1)::INT AS entry_index FROM documents),
+t AS (SELECT *, doc_id + x AS other FROM i, (VALUES (0), (1)) AS v(x) WHERE doc_id % 7 > 0)
+SELECT substr(sha256('source|https://dict.example/index/' || t.page || '.htm|' || t.entry_index || '|index_v1'), 1, 16) AS ir_id, t.page || '.htm' AS page, 'e' || other AS anchor, CASE WHEN d.doc_id IS NOT NULL THEN substr(sha256('source|https://dict.example/lexicon/' || t.page || '.htm|e' || other || '|lexicon_v3'), 1, 16) END AS target
+FROM t LEFT JOIN documents d ON d.doc_id = other AND d.doc_id // 100 = t.doc_id // 100"""
+
+
 def robots_gate(spark, sf) -> DataFrame:
     """Documents as URLs, four on a host; labels as the hosts' robots files, which have a group of ours, or only one of all agents, or are not there."""
     k = F.col("doc_id")

@@ -130,3 +130,7 @@ QUERIES["fn_fmt_bytes"] = lambda s, d: read(s, d, "documents").select("doc_id",
 SQL["fn_fmt_bytes"] = "SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.2f KB', round(n_chars / 1024.0, 2)) ELSE printf('%.2f MB', round(n_chars / 1048576.0, 2)) END AS size FROM documents"
 QUERIES["prj_language_meta"] = lambda s, d: read(s, d, "documents").select("doc_id", F.concat(labels.language_label(F.when(F.col("lang") == "en", "English"), F.col("lang"), "Source"), F.lit(" ↔ "), labels.language_label(F.lit(" "), F.lit(""), "Target")).alias("name"))
 SQL["prj_language_meta"] = "SELECT doc_id, coalesce(CASE WHEN lang = 'en' THEN 'English' END, upper(nullif(trim(lang), '')), 'Source') || ' ↔ Target' AS name FROM documents"
+QUERIES["fn_fmt_ms"] = lambda s, d: read(s, d, "documents").select("doc_id", labels.human_ms(F.col("n_chars") / 8.0).alias("took"))
+SQL["fn_fmt_ms"] = "SELECT doc_id, round(n_chars / 8.0::DOUBLE)::BIGINT || ' ms' AS took FROM documents"
+QUERIES["fn_crawl_id"] = lambda s, d: read(s, d, "documents").select("doc_id", labels.crawl_id(F.col("source"), F.timestamp_millis(F.lit(1_767_225_600_000) + F.col("doc_id") * 86_399_987), F.hex(F.col("doc_id") * 7)).alias("crawl_id"))
+SQL["fn_crawl_id"] = "SELECT doc_id, concat_ws('_', 'crawl', strftime(make_timestamp((1767225600000 + doc_id * 86399987) * 1000), '%Y%m%d_%H%M%S_%g'), right(lpad(lower(printf('%x', doc_id * 7)), greatest(4, length(printf('%x', doc_id * 7)))::INT, '0'), 4), source) AS crawl_id FROM documents"

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import identity, labels, urls
 
+#: Rows of pages that make a batch.
+GATHERED = 500
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 GLOSSES = {"gloss_fr": "GlFr", "gloss_en": "GlEn", "gloss_ru": "GlRu"}
 EXAMPLE = "struct<text_latin:string,text_nko_provided:string,trans_fr:string,trans_en:string,trans_ru:string,source_attribution:string>"
@@ -225,20 +227,34 @@ def parsed(pages: DataFrame, rows: Callable[[str, str], Iterator[dict]], schema:
     kind = _parse_datatype_string(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = to_arrow_schema(kind)
+        arrow, held = to_arrow_schema(kind), []
         for batch in batches:
             for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
                 if html is not None:
-                    found = list(rows(url, html.decode("utf-8", "replace") if isinstance(html, bytes) else html))
-                    if found:
-                        yield pa.RecordBatch.from_pylist(found, arrow)
+                    held += rows(url, html.decode("utf-8", "replace") if isinstance(html, bytes) else html)
+                    if len(held) >= GATHERED:
+                        yield pa.RecordBatch.from_pylist(held, arrow)
+                        held = []
+        if held:
+            yield pa.RecordBatch.from_pylist(held, arrow)
 
     return pages.select("url", "html").mapInArrow(run, kind)
 
 
+def attributed(senses: Column) -> Column:
+    """senses with each example's [..] part as its source_attribution, taken out of the text; examples without text go."""
+
+    def example(e: Column) -> Column:
+        found = labels.attribution(e.text_latin)
+        marked = e.text_latin.rlike(r"\[[^\]]+\]")
+        return e.withField("text_latin", F.when(marked, found.text).otherwise(e.text_latin)).withField("source_attribution", F.when(marked, found.source))
+
+    return F.transform(senses, lambda s: s.withField("examples", F.transform(F.filter(s.examples, lambda e: e.text_latin != ""), example)))
+
+
 def lexicon(pages: DataFrame, source: str = "source", version: str = "lexicon_v3") -> DataFrame:
     """Lexicon entries with ids, hints and the selector of the entry that follows on the page."""
-    rows = parsed(pages, lexicon_entries, ENTRY)
+    rows = parsed(pages, lexicon_entries, ENTRY).withColumn("senses", attributed(F.col("senses")))
     return rows.select("*", identity.ir_id(F.lit(source), F.col("url"), F.col("entry_id"), F.lit(version)).alias("ir_id"), labels.pos_hint(F.col("ps_raw")).alias("pos_hint"), labels.first_int(F.col("corpus")).alias("corpus_count"), F.lead("entry_id").over(Window.partitionBy("url").orderBy("pos")).alias("end_selector"))
 
 
