@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions import identity, urls
+from lexmill.functions import identity, sql, urls
 from lexmill.operators import bundles, capture, coverage, records, robots
 from lexmill.plans.text_queries import read
 from lexmill.sources import pages
@@ -211,7 +211,25 @@ def html_examples(spark, sf) -> DataFrame:
     return rows.select("entry_id", "s.sense_num", F.explode("s.examples").alias("x")).select("entry_id", "sense_num", "x.text_latin", "x.source_attribution", "x.trans_fr", "x.trans_en")
 
 
+def in_sql_alone(spark, sf) -> DataFrame:
+    """Entries of pages with their keys and ids, and where they stand in the index, in the text of one SQL query."""
+    sql.register(spark)
+    _entry_pages(spark, sf).createOrReplaceTempView("lexmill_entry_pages")
+    _index_pages(spark, sf).createOrReplaceTempView("lexmill_index_pages")
+    return spark.sql("""
+        WITH e AS (SELECT *, ir_id('source', url, entry_id, 'lexicon_v3') AS id FROM lexicon_entries(TABLE(SELECT url, html FROM lexmill_entry_pages) PARTITION BY url)),
+          t AS (SELECT term, explode(targets) AS target FROM index_rows(TABLE(SELECT url, html FROM lexmill_index_pages) PARTITION BY url)),
+          n AS (SELECT url_tail(target.lexicon_url) AS page, target.anchor AS anchor, count(*) AS terms, max(key_casefold(term)) AS last FROM t GROUP BY ALL)
+        SELECT e.id, key_nospace(headword) AS nospace, all_keys(upper(headword)).diacritics_insensitive AS bare, pos_hint(ps_raw) AS hint, first_int(corpus) AS corpus, coalesce(terms, 0) AS terms, last
+        FROM e LEFT JOIN n ON n.page = url_tail(canonical_url(e.url)) AND n.anchor = e.entry_id
+    """)
+
+
 _SENSES = "s AS (SELECT *, i::INT AS i, 'e' || doc_id AS entry_id FROM documents, unnest(range(1, doc_id % 3 + 2)) AS t(i))"
+QUERIES["sql_functions"] = in_sql_alone
+SQL["sql_functions"] = """SELECT substr(sha256('source|https://dict.example/lexicon/' || doc_id // 100 || '.htm|e' || doc_id || '|lexicon_v3'), 1, 16) AS id, 'mot' || doc_id AS nospace, 'mot ' || doc_id AS bare, NULL AS hint, n_chars::INT AS corpus,
+  (doc_id % 7 > 0)::BIGINT + (b.id IS NOT NULL)::BIGINT AS terms, CASE WHEN doc_id % 7 > 0 AND b.id IS NOT NULL THEN greatest('terme ' || doc_id, 'terme ' || b.id) WHEN doc_id % 7 > 0 THEN 'terme ' || doc_id WHEN b.id IS NOT NULL THEN 'terme ' || b.id END AS last
+FROM documents LEFT JOIN (SELECT doc_id AS id FROM documents WHERE doc_id % 7 > 0) AS b ON b.id = doc_id - 1 AND b.id // 100 = doc_id // 100"""
 QUERIES["html_senses"] = html_senses
 SQL["html_senses"] = f"""WITH {_SENSES} SELECT entry_id, 'mot ' || doc_id AS headword, NULL AS pos_hint, n_chars::INT AS corpus_count, 'v' || doc_id || ',w' AS variants, i - 1 AS place, i AS sense_num, 'fr' || i AS gloss_fr, CASE WHEN doc_id = 0 THEN 's0' ELSE 's' || doc_id || ',s0' END AS synonyms,
   CASE WHEN doc_id % 2 = 0 AND i = doc_id % 3 + 1 THEN 1 ELSE 0 END AS subs, CASE WHEN doc_id % 2 = 0 AND i = doc_id % 3 + 1 THEN 'sub' END AS sub FROM s"""
