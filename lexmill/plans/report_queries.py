@@ -230,6 +230,34 @@ QUERIES["sql_functions"] = in_sql_alone
 SQL["sql_functions"] = """SELECT substr(sha256('source|https://dict.example/lexicon/' || doc_id // 100 || '.htm|e' || doc_id || '|lexicon_v3'), 1, 16) AS id, 'mot' || doc_id AS nospace, 'mot ' || doc_id AS bare, NULL AS hint, n_chars::INT AS corpus,
   (doc_id % 7 > 0)::BIGINT + (b.id IS NOT NULL)::BIGINT AS terms, CASE WHEN doc_id % 7 > 0 AND b.id IS NOT NULL THEN greatest('terme ' || doc_id, 'terme ' || b.id) WHEN doc_id % 7 > 0 THEN 'terme ' || doc_id WHEN b.id IS NOT NULL THEN 'terme ' || b.id END AS last
 FROM documents LEFT JOIN (SELECT doc_id AS id FROM documents WHERE doc_id % 7 > 0) AS b ON b.id = doc_id - 1 AND b.id // 100 = doc_id // 100"""
+def evidence(spark, sf) -> DataFrame:
+    """Where each entry and mapping stands in its capture; every fifth page has none."""
+    entries, mapped = pages.lexicon(_entry_pages(spark, sf)), pages.mappings(_index_pages(spark, sf))
+    taken = read(spark, sf, "documents").select(F.expr("doc_id div 100").alias("p")).distinct().where("p % 5 > 0")
+    snapshots = taken.select(F.explode(F.array(*[F.struct(F.concat(F.lit(f"https://dict.example/{kind}/"), F.col("p").cast("string"), F.lit(".htm")).alias("url"), F.concat(F.lit(kind), F.col("p").cast("string")).alias("snapshot_id")) for kind in ("lexicon", "index")])).alias("s")).select("s.*")
+    rows = pages.units(entries, mapped, snapshots).select("ir_id", "ir_kind", F.col("evidence")[0].alias("e"), F.col("record_locator").alias("l"))
+    return rows.select("ir_id", "ir_kind", "e.snapshot_id", "e.start_selector", "e.end_selector", "e.css_selector", "e.text_quote", F.length("e.raw_block_hash").alias("hash"), "l.kind", "l.url_canonical", "l.source_record_id", "l.entry_index")
+
+
+QUERIES["html_evidence"] = evidence
+SQL["html_evidence"] = """WITH d AS (SELECT doc_id, (doc_id // 100) AS p, (row_number() OVER w - 1)::INT AS i, lead(doc_id) OVER w AS next FROM documents WINDOW w AS (PARTITION BY doc_id // 100 ORDER BY doc_id))
+SELECT substr(sha256('source|https://dict.example/lexicon/' || p || '.htm|e' || doc_id || '|lexicon_v3'), 1, 16) AS ir_id, 'lexicon_entry' AS ir_kind, CASE WHEN p % 5 > 0 THEN 'lexicon' || p END AS snapshot_id, 'span#e' || doc_id AS start_selector, 'span#e' || next AS end_selector, NULL AS css_selector,
+  'mot ' || doc_id AS text_quote, 16 AS hash, 'source_record_id' AS kind, 'https://dict.example/lexicon/' || p || '.htm' AS url_canonical, 'e' || doc_id AS source_record_id, NULL::INT AS entry_index FROM d
+UNION ALL SELECT substr(sha256('source|https://dict.example/index/' || p || '.htm|' || i || '|index_v1'), 1, 16), 'index_mapping', CASE WHEN p % 5 > 0 THEN 'index' || p END, NULL, NULL, 'tr:nth-child(' || (i + 1) || ')', 'terme ' || doc_id, NULL, 'url_canonical+entry_index', 'https://dict.example/index/' || p || '.htm', NULL, i FROM d"""
+
+
+def chosen_files(spark, sf) -> DataFrame:
+    """Documents as bundles whose two files are listed and chosen, but for some."""
+    k, n = F.col("doc_id"), F.col("n_chars")
+    docs = read(spark, sf, "documents").select(k.alias("bundle_id"), "doc_id", "n_chars")
+    listed = docs.select("bundle_id", F.lit("records.jsonl").alias("path"), n.cast("long").alias("byte_length")).unionByName(docs.where("doc_id % 7 > 0").select("bundle_id", F.lit("search_index.jsonl").alias("path"), (n * 2).cast("long").alias("byte_length")))
+    chosen = docs.where("doc_id % 5 > 0").select("bundle_id", F.lit("records").alias("part"), F.when(k % 3 == 0, "mine.jsonl").otherwise("records.jsonl").alias("name"), (n + F.when(k % 4 == 0, 1).otherwise(0)).cast("long").alias("size"))
+    return bundles.selected_files(listed, chosen.unionByName(docs.select("bundle_id", F.lit("search_index").alias("part"), F.lit("search_index.jsonl").alias("name"), (n * 2).cast("long").alias("size"))))
+
+
+QUERIES["val_selected_files"] = chosen_files
+SQL["val_selected_files"] = """SELECT doc_id AS bundle_id, 'records' AS part, CASE WHEN doc_id % 5 = 0 THEN 'not_chosen' WHEN doc_id % 4 = 0 THEN 'size_mismatch' END AS error, CASE WHEN doc_id % 5 > 0 AND doc_id % 3 = 0 THEN 'another_name' END AS warning FROM documents
+UNION ALL SELECT doc_id, 'search_index', CASE WHEN doc_id % 7 = 0 THEN 'not_listed' END, NULL FROM documents"""
 QUERIES["html_senses"] = html_senses
 SQL["html_senses"] = f"""WITH {_SENSES} SELECT entry_id, 'mot ' || doc_id AS headword, NULL AS pos_hint, n_chars::INT AS corpus_count, 'v' || doc_id || ',w' AS variants, i - 1 AS place, i AS sense_num, 'fr' || i AS gloss_fr, CASE WHEN doc_id = 0 THEN 's0' ELSE 's' || doc_id || ',s0' END AS synonyms,
   CASE WHEN doc_id % 2 = 0 AND i = doc_id % 3 + 1 THEN 1 ELSE 0 END AS subs, CASE WHEN doc_id % 2 = 0 AND i = doc_id % 3 + 1 THEN 'sub' END AS sub FROM s"""

@@ -269,3 +269,36 @@ def resolved_targets(mapped: DataFrame, entries: DataFrame) -> DataFrame:
     rows = mapped.select("ir_id", F.explode("targets").alias("t")).select("ir_id", name.alias("page"), F.col("t.anchor").alias("anchor"))
     known = entries.select(labels.url_tail(urls.canonical_url(F.col("url"))).alias("page"), F.col("entry_id").alias("anchor"), F.col("ir_id").alias("target"))
     return rows.join(known, ["page", "anchor"], "left")
+
+
+EVIDENCE = "source_id string, snapshot_id string, start_selector string, end_selector string, css_selector string, text_quote string, raw_block_hash string"
+
+
+def _evidence(**fields: Column) -> Column:
+    """One place in a capture: where its block begins and ends or its selector, the text that stands there, and the block's hash."""
+    names = [f.split(" ")[0] for f in EVIDENCE.split(", ")]
+    return F.array(F.struct(*[fields.get(n, F.lit(None)).cast("string").alias(n) for n in names]))
+
+
+def _locator(kind: str, url: Column, record: Column, index: Column, anchors: Column) -> Column:
+    """What names a record on its page; url_canonical stands in all, as ids are those of a page."""
+    return F.struct(F.lit(kind).alias("kind"), url.alias("url_canonical"), record.cast("string").alias("source_record_id"), index.cast("int").alias("entry_index"), anchors.cast("array<string>").alias("anchor_names"))
+
+
+def units(entries: DataFrame | None, mapped: DataFrame | None, snapshots: DataFrame, source: str = "source") -> DataFrame:
+    """Rows (ir_id, ir_kind, source_id, evidence, record_locator) of lexicon entries and index mappings, with the capture (url, snapshot_id) that each comes from.
+
+    A page without a capture keeps its records, with a null snapshot_id.
+    """
+    none, parts = F.lit(None), []
+    if entries is not None:
+        e = entries.join(snapshots.select("url", "snapshot_id"), "url", "left")
+        selector = lambda c: F.concat(F.lit("span#"), c)
+        evidence = _evidence(source_id=F.lit(source), snapshot_id=F.col("snapshot_id"), start_selector=selector(F.col("entry_id")), end_selector=selector(F.col("end_selector")), text_quote=F.col("headword"), raw_block_hash=F.col("block_hash"))
+        parts.append(e.select("ir_id", F.lit("lexicon_entry").alias("ir_kind"), F.lit(source).alias("source_id"), evidence.alias("evidence"), _locator("source_record_id", F.col("url"), F.col("entry_id"), none, F.col("anchors")).alias("record_locator")))
+    if mapped is not None:
+        m = mapped.join(snapshots.select("url", "snapshot_id"), "url", "left")
+        css = F.concat(F.lit("tr:nth-child("), (F.col("entry_index") + 1).cast("string"), F.lit(")"))
+        evidence = _evidence(source_id=F.lit(source), snapshot_id=F.col("snapshot_id"), css_selector=css, text_quote=F.col("term"))
+        parts.append(m.select("ir_id", F.lit("index_mapping").alias("ir_kind"), F.lit(source).alias("source_id"), evidence.alias("evidence"), _locator("url_canonical+entry_index", F.col("url"), none, F.col("entry_index"), none).alias("record_locator")))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

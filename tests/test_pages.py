@@ -70,3 +70,23 @@ def test_payloads_stay(spark, tmp_path):
         jsonl.write_payloads(spark.createDataFrame([("s1", html), ("s2", None)], "snapshot_id string, html binary"), str(tmp_path / "p"))
     rows = spark.read.parquet(str(tmp_path / "p")).select("snapshot_id", jsonl.unzstd("payload").alias("html")).collect()
     assert {r.snapshot_id: bytes(r.html) if r.html else None for r in rows} == {"s1": b"<p>one", "s2": None}
+
+
+def test_units_name_their_evidence(spark):
+    entries = pages.lexicon(spark.createDataFrame([("https://h/lexicon/b.htm", PAGE)], "url string, html string"))
+    mapped = pages.mappings(spark.createDataFrame([("https://h/index/k.htm", INDEX)], "url string, html string"))
+    snapshots = spark.createDataFrame([("https://h/lexicon/b.htm", "s1")], "url string, snapshot_id string")
+    got = {r.ir_id: r for r in pages.units(entries, mapped, snapshots, "src").collect()}
+    one = next(r for r in got.values() if r.record_locator.source_record_id == "e1")
+    assert one.evidence[0].asDict() == {"source_id": "src", "snapshot_id": "s1", "start_selector": "span#e1", "end_selector": "span#e2", "css_selector": None, "text_quote": "dɔ́bɛ̀n", "raw_block_hash": entries.orderBy("pos").first().block_hash}
+    assert one.record_locator.kind == "source_record_id" and one.record_locator.anchor_names == ["dɔ́bɛ̀n", "doben"]
+    row = next(r for r in got.values() if r.ir_kind == "index_mapping")
+    assert row.evidence[0].css_selector == "tr:nth-child(2)" and row.evidence[0].text_quote == "kaki" and row.evidence[0].snapshot_id is None and row.record_locator.entry_index == 1
+    assert pages.units(entries, None, snapshots).count() == 2 and pages.units(None, mapped, snapshots).count() == 1
+
+
+def test_example_attribution(spark):
+    cell = lambda text: f'<span class="Exe">{text}</span><div class="GlFr">t</div>'
+    html = f'<p class="lxP"><span class="Lxe" id="e1">x</span></p><p class="lxP2"><span class="SnsN">1)</span>{cell("a [Author] b")}{cell("plain")}{cell("")}{cell("[]")}</p>'
+    senses = pages.lexicon(spark.createDataFrame([("u", html)], "url string, html string")).first().senses
+    assert [(e.text_latin, e.source_attribution, e.trans_fr) for e in senses[0].examples] == [("a b", "[Author]", "t"), ("plain", None, "t"), ("[]", None, "t")]
