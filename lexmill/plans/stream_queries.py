@@ -87,8 +87,8 @@ def installed_search(spark, sf) -> DataFrame:
     bundles.build(records, search.inverted_index(records), f"{target}/bundle", "full", "20260208", sources=["part", "customer"])
     store = bundles.Store(spark, f"{target}/store")
     store.install(f"{target}/bundle")
-    found = search.ladder_lookup(record_queries.searches(spark, sf), store.table("search_index"))
-    return found.withColumn("ir_ids", F.array_join("ir_ids", ",")).select("query_id", "query", "matched_key_type", "matched_key", "ir_ids")
+    found = search.ladder_lookup(record_queries.searches(spark, sf), store.table("search_index").withColumn("ir_ids", F.array_join("ir_ids", ",")))
+    return found.select("query_id", "query", "matched_key_type", "matched_key", "ir_ids")
 
 
 def bundle_check(spark, sf) -> DataFrame:

@@ -156,3 +156,30 @@ def test_import_keeps_the_last_line_of_each_key(spark, tmp_path):
     progress = [tuple(r) for r in captures.progress_rows(spark.read.parquet(str(tmp_path / "progress"))).orderBy("batch").select("lines", "rows", "lines_so_far", "rows_so_far", "bytes_so_far").collect()]
     assert [p[:4] for p in progress] == [(52, 3, 52, 3), (3, 2, 55, 5)]
     assert progress[1][4] == sum(len(line) for f in source.iterdir() for line in f.read_bytes().splitlines())
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_levels_need_no_ids(spark, normalized):
+    """Which level matches is told by keys alone; ids and records are joined to it once, last."""
+    queries = spark.createDataFrame(list(enumerate(["DÒBÈN", "dobèn", "aban donner", "xyz", " ", "-DÒBÈN", "dobèn"])), "query_id long, query string")
+    index, records_ = search.inverted_index(normalized), normalized.select("ir_id", "preferred_form").where("ir_id <> 'cccc'")
+    level = search.ladder_level(queries, search.known_keys(normalized))
+    assert "collect_list" not in _plan(level)
+    looked = search.ladder_lookup(queries, index)
+    assert sorted(level.collect()) == sorted(looked.drop("ir_ids").collect())
+    # the minimum of the probes carries no ids
+    assert not [x for x in _plan(looked).splitlines() if "Aggregate" in x and "min(" in x and "ir_ids" in x]
+    want = search.resolved(looked, records_).select("query_id", "pos", "ir_id", "preferred_form").collect()
+    assert sorted(search.resolved_lookup(level, index, records_).select("query_id", "pos", "ir_id", "preferred_form").collect()) == sorted(want) and len(want) == 4
+    scoped = search.ladder_level(queries.withColumn("scope", F.when(F.col("query_id") < 2, "a").otherwise("b")), search.known_keys(normalized).withColumn("scope", F.lit("a")), ["scope"])
+    assert {r.query_id for r in scoped.collect() if r.matched_key} == {0, 1}
+
+
+def test_searches_of_scope_and_first_level_gather_no_ids(spark):
+    from lexmill.plans import record_queries
+
+    for name in ("win_ladder_first", "flt_bundle_scope"):
+        assert "collect_list" not in _plan(record_queries.QUERIES[name](spark, "/root/testdata/sf0.001"))
