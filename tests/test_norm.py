@@ -42,3 +42,10 @@ def test_whitespace(spark, x, want):
 def test_search_keys_drop_empty_and_keep_order(spark):
     k = spark.createDataFrame([(["B b", "  ", "b B", "B b", "!"],)], "f array<string>").select(norm.search_keys(F.col("f")).alias("k")).first().k
     assert k.casefold == ["b b", "!"] and k.punct_stripped == ["b b"] and k.nospace == ["bb", "!"]
+
+
+def test_long_runs_of_punctuation(spark):
+    """A run is matched by one class in a loop, whatever its length."""
+    text = "a" + "!" * 300_000 + "—" * 300_000 + "ß ΣΑΣ b"
+    got = spark.createDataFrame([(text,)], "x string").select(norm.strip_punctuation(F.col("x")).alias("p"), norm.key_punct_stripped(F.col("x")).alias("k")).first()
+    assert tuple(got) == ("aß ΣΑΣ b", "ass σασ b")
