@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from html import escape
+from html import escape, unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -215,8 +215,12 @@ def index_rows(url: str, html: str) -> Iterator[dict]:
 
 
 def page_fields(url: str, html: str) -> Iterator[dict]:
-    root = Tree(html).root
-    yield {"url": url, "title": text_of(root.first("title")), "h1": text_of(root.first("h1")), "links": len(root.all("a")), "paragraphs": len(root.all("p"))}
+    """Title and first heading, also as they are written (_source: character references are left), and numbers of links and paragraphs."""
+    root = Tree(html.replace("&", "&amp;")).root  # so that references come out as they were written
+    written = {name: [kid for kid in node.inside() if isinstance(kid, str)] if (node := root.first(name)) else [] for name in ("title", "h1")}
+    texts = {name: "".join(unescape(x).strip() for x in strings) or None for name, strings in written.items()}
+    sources = {f"{name}_source": "".join(x.strip() for x in strings) or None for name, strings in written.items()}
+    yield {"url": url, **texts, **sources, "links": len(root.all("a")), "paragraphs": len(root.all("p"))}
 
 
 def parsed(pages: DataFrame, rows: Callable[[str, str], Iterator[dict]], schema: str) -> DataFrame:

@@ -90,3 +90,10 @@ def test_example_attribution(spark):
     html = f'<p class="lxP"><span class="Lxe" id="e1">x</span></p><p class="lxP2"><span class="SnsN">1)</span>{cell("a [Author] b")}{cell("plain")}{cell("")}{cell("[]")}</p>'
     senses = pages.lexicon(spark.createDataFrame([("u", html)], "url string, html string")).first().senses
     assert [(e.text_latin, e.source_attribution, e.trans_fr) for e in senses[0].examples] == [("a b", "[Author]", "t"), ("plain", None, "t"), ("[]", None, "t")]
+
+
+def test_page_fields_as_written():
+    """A reference without its semicolon is read as a browser reads it, and can be had as it was written."""
+    html = '<title> a &amp;b &quot;c&amp</title><h1>x&nbsp;<b>&amp; y&amp;amp;</b></h1><a href="?a=1&amp;b=2">l</a><script>"<p>&amp;"</script><p>'
+    assert next(pages.page_fields("u", html)) == {"url": "u", "title": 'a &b "c&', "h1": "x& y&amp;", "title_source": "a &amp;b &quot;c&amp", "h1_source": "x&nbsp;&amp; y&amp;amp;", "links": 1, "paragraphs": 1}
+    assert next(pages.page_fields("u", "plain"))["title"] is None
