@@ -84,10 +84,12 @@ def installed_search(spark, sf) -> DataFrame:
     """A bundle of the records, built, verified and installed; the searches are answered from the active bundle."""
     target = folders.scratch(spark)
     records = record_queries.normalized(spark, sf)
-    bundles.build(records, search.inverted_index(records), f"{target}/bundle", "full", "20260208", sources=["part", "customer"])
+    bundles.build(records, search.posting_blocks(records), f"{target}/bundle", "full", "20260208", sources=["part", "customer"])
     store = bundles.Store(spark, f"{target}/store")
     store.install(f"{target}/bundle")
-    found = search.ladder_lookup(record_queries.searches(spark, sf), store.table("search_index").withColumn("ir_ids", F.array_join("ir_ids", ",")))
+    blocks = store.table("search_index")
+    index = search.whole_postings(blocks).withColumn("ir_ids", F.array_join("ir_ids", ","))
+    found = search.ladder_lookup(record_queries.searches(spark, sf), index, keys=blocks.select("key_type", "key").distinct())
     return found.select("query_id", "query", "matched_key_type", "matched_key", "ir_ids")
 
 
@@ -95,23 +97,16 @@ def bundle_check(spark, sf) -> DataFrame:
     """Faults of bundles against their manifests: a whole one, and one with a file missing, resized, altered and not listed."""
     target = folders.scratch(spark)
     records = record_queries.normalized(spark, sf)
-    bundles.build(records.repartition(4, "ir_id"), search.inverted_index(records), f"{target}/good", "full", "20260208")
+    parts = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bundles.build(records.repartition(parts, "ir_id"), search.posting_blocks(records), f"{target}/good", "full", "20260208")
     whole = bundles.verify(spark, f"{target}/good")
     path = spark._jvm.org.apache.hadoop.fs.Path
     system = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
     files = sorted(x.getPath().toString() for x in system.listStatus(path(f"{target}/good/records")) if x.getPath().getName().endswith(".json"))
 
-    def rewrite(file: str, change) -> None:
-        stream = system.open(path(file))
-        content = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
-        stream.close()
-        stream = system.create(path(file), True)
-        stream.write(change(content))
-        stream.close()
-
     system.delete(path(files[0]), False)
-    rewrite(files[1], lambda c: c + b"\n")
-    rewrite(files[2], lambda c: b" " + c[1:])
+    folders.rewrite(spark, files[1], after=b"\n")
+    folders.rewrite(spark, files[2], skip=1, before=b" ")
     stream = system.create(path(f"{target}/good/records/zz.json"), True)
     stream.write(b"{}")
     stream.close()
