@@ -183,3 +183,37 @@ def test_searches_of_scope_and_first_level_gather_no_ids(spark):
 
     for name in ("win_ladder_first", "flt_bundle_scope"):
         assert "collect_list" not in _plan(record_queries.QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_extents_are_those_of_the_index_without_lists(spark, normalized):
+    found = search.key_extents(normalized)
+    assert "collect_list" not in _plan(found)
+    want = [(r.key_type, r.key, len(r.ir_ids), r.ir_ids[0], r.ir_ids[-1]) for r in search.inverted_index(normalized).collect()]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert sorted(search.whole_postings(search.posting_blocks(normalized, 1)).collect()) == sorted(search.inverted_index(normalized).collect())
+
+
+def test_keys_are_dealt_over_tasks(spark):
+    """A small file is read in one task; the many keys of its rows are made in as many as there are shuffle partitions."""
+    from lexmill.plans import record_queries
+
+    assert record_queries.units(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_index_lines_over_the_limit_are_blocks(spark, tmp_path):
+    """A key of so many ids that its line would be over the limit of a line is installed in blocks."""
+    ids = spark.range(260_000).select(F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 16).alias("ir_id"), F.lit("index_mapping").alias("ir_kind"), F.struct(*[F.array(F.lit("hot")).alias(k) for k in search.LADDER]).alias("search_keys"))
+    small = ids.limit(1).drop("search_keys")
+    bundles.build(small, search.posting_blocks(ids).where("key_type = 'casefold'"), str(tmp_path / "b"), "full", "20260208")
+    store = bundles.Store(spark, str(tmp_path / "s"))
+    assert store.install(str(tmp_path / "b")) == "installed"
+    assert [(r.key, r.n) for r in search.whole_postings(store.table("search_index")).select("key", F.size("ir_ids").alias("n")).collect()] == [("hot", 260_000)]
+
+
+def test_files_are_rewritten_in_pieces(spark, tmp_path):
+    from lexmill.operators import folders
+
+    at = tmp_path / "x.json"
+    at.write_bytes(b"a" * 200_001)
+    folders.rewrite(spark, str(at), skip=1, before=b" ", after=b"\n")
+    assert at.read_bytes() == b" " + b"a" * 200_000 + b"\n"
