@@ -233,9 +233,11 @@ def parsed(pages: DataFrame, rows: Callable[[str, str], Iterator[dict]], schema:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow, held = to_arrow_schema(kind), []
         for batch in batches:
-            for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
-                if html is not None:
-                    held += rows(url, html.decode("utf-8", "replace") if isinstance(html, bytes) else html)
+            for url, html in zip(batch.column("url"), batch.column("html")):  # a page at a time becomes Python's
+                if (html := html.as_py()) is None:
+                    continue
+                for row in rows(url.as_py(), html.decode("utf-8", "replace") if isinstance(html, bytes) else html):
+                    held.append(row)
                     if len(held) >= GATHERED:
                         yield pa.RecordBatch.from_pylist(held, arrow)
                         held = []

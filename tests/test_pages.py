@@ -97,3 +97,13 @@ def test_page_fields_as_written():
     html = '<title> a &amp;b &quot;c&amp</title><h1>x&nbsp;<b>&amp; y&amp;amp;</b></h1><a href="?a=1&amp;b=2">l</a><script>"<p>&amp;"</script><p>'
     assert next(pages.page_fields("u", html)) == {"url": "u", "title": 'a &b "c&', "h1": "x& y&amp;", "title_source": "a &amp;b &quot;c&amp", "h1_source": "x&nbsp;&amp; y&amp;amp;", "links": 1, "paragraphs": 1}
     assert next(pages.page_fields("u", "plain"))["title"] is None
+
+
+def test_pages_are_dealt_over_tasks(spark):
+    """Pages shrink in a shuffle: tasks are not sized by its bytes, and a batch's pages become Python's one at a time."""
+    from lexmill.plans import report_queries
+
+    assert report_queries._entry_pages(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    entry = '<p class="lxP"><span class="Lxe" id="e{}">a</span></p>'
+    page = spark.createDataFrame([("u", "".join(entry.format(i) for i in range(3 * pages.GATHERED + 1))), ("v", None)], "url string, html string")
+    assert pages.parsed(page, pages.lexicon_entries, pages.ENTRY).select("entry_id").distinct().count() == 3 * pages.GATHERED + 1
