@@ -405,6 +405,32 @@ def test_media_recall(spark):
     assert media.image_classes(frame).count() == len(rows_) + 3 and media.image_classes(frame.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("block", [4096, 10])
+def test_media_links_in_large_groups(spark, monkeypatch, block):
+    """Groups of far more than ALL images, in one block and in several: every link of brute force over all pairs that meet often enough is there."""
+    monkeypatch.setattr(media, "BLOCK", block)
+    r = np.random.default_rng(8)
+    data = []
+    for k in range(3):
+        a = media.resized(r.integers(0, 255, (20, 20)).astype(np.float32), 130, 130)
+        for n in range(14):  # of equal descriptors, but not of equal pixels
+            copy = a.astype(np.uint8)
+            copy[0, n] ^= 1
+            data.append((100 * n + k, copy))
+    keys = {i: media.keypoints(media.gray(*a.shape, 1, a.tobytes())) for i, a in data}
+    groups = {i: set(media.entries([k], np.zeros(1, np.int64))[0].tolist()) for i, k in keys.items()}
+    want = dict.fromkeys(keys, 0)
+    for a in keys:
+        for b in keys:
+            if a < b and len(groups[a] & groups[b]) >= 8 and media.alike(keys[a].tobytes(), keys[b].tobytes(), 40, 8):
+                want[a], want[b] = want[a] + 1, want[b] + 1
+    assert max(want.values()) == 13  # all pairs of a picture's fourteen copies
+    rows = [(i, (*a.shape, 1, a.tobytes())) for i, a in data]
+    got = media.image_classes(spark.createDataFrame(rows, T.StructType([T.StructField("media_id", T.LongType()), T.StructField("image", media.IMAGE)]))).collect()
+    assert {x.media_id: x.n_links for x in got} == want
+    assert all(x.class_id == x.media_id % 100 for x in got)
+
+
 def test_language(spark, docs, none):
     kinds = {"xx": "an the of er in".split(), "yy": "zu kö ßa mi or".split(), "zz": "qui ñe ló ta ur".split()}
     train = spark.createDataFrame([(i, prose(i, 60, kinds[k]), k) for i, k in enumerate(list(kinds) * 30)] + [(500, None, "xx"), (501, "the", None)], "doc_id long, text string, lang string")
