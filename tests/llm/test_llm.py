@@ -591,3 +591,36 @@ def test_passages_do_not_depend_on_the_split(spark):
     assert len(links) > 100 and sum(got[a][1] == got[b][1] for a, b in links) >= 0.98 * len(links)
     repeated = {b for _, b in links}
     assert sum(got[b][0] >= 50 for b in repeated) >= 0.95 * len(repeated) and all(got[d][0] == 0 for d in tokens if d not in repeated)
+
+
+def shared_lead_ins(n=24, tail=40):
+    """Texts of one lead-in of thirty words and two-words of their own before; behind it pairs of texts go on alike, in an order that parts them."""
+    lead = " ".join(prose(9000, 30).split()[:30])
+    return [(d, " ".join(prose(9100 + d, 30).split()[:30] + [lead] + prose(9300 + d % (n // 2), 120).split()[:tail] + prose(9500 + d, 30).split()[:30])) for d in range(n)]
+
+
+def test_passages_of_large_keys(spark, monkeypatch):
+    """One stretch that 24 texts have before different ones, which two each share: every pair that verification accepts among all pairs is there, however keys are dealt."""
+    data = shared_lead_ins()
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    tokens = {d: passage_dedup.shingles(passage_dedup.Words([t.encode()], passage_dedup.ALNUM), 5)[0] for d, t in data}
+    want = {(a, b) for a in tokens for b in tokens if a < b and passage_dedup.near_passages(tokens[a], tokens[b], 46, 80)}
+    assert {(a, a + 12) for a in range(12)} <= want
+    for part in (512, 5):
+        monkeypatch.setattr(passage_dedup, "PART", part)
+        assert {(r.a, r.b) for r in passage_dedup.passages(frame)[0].collect()} == want
+
+
+def test_pairs_of_large_keys_are_all(spark, monkeypatch):
+    """Twenty windows of different classes that agree only in what stands before their centres: all pairs, through the join."""
+    monkeypatch.setattr(passage_dedup, "PART", 3)
+    e = np.zeros(20, passage_dedup._ENTRY)
+    e["v"], e["doc"], e["c"], e["r"], e["before"] = 7, np.arange(20), 30, 90, 5
+    e["far_before"] = e["far_behind"] = np.arange(20) + 1
+    columns = [e[n] if n != "doc" else np.diff(e[n], prepend=0) for n in passage_dedup._ENTRY.names]
+    blob = passage_dedup.zstandard.ZstdCompressor(1).compress(b"".join(c.tobytes() for c in columns))
+    rows = passage_dedup.paired(passage_dedup.pd.DataFrame({"bucket": [0], "entries": [blob]}), 46, 4)
+    large = rows[rows["key"].notna()]
+    assert len(large) == 20 and rows["b"].isna().all()
+    windows = spark.createDataFrame([tuple(int(x) for x in r) for r in large[["a", "key", "c", "l", "r", "size"]].to_numpy()], "a long, key long, c long, l long, r long, size long")
+    assert sorted(map(tuple, passage_dedup.all_pairs(windows, 46).collect())) == [(a, b) for a in range(20) for b in range(a + 1, 20)]
