@@ -594,7 +594,7 @@ def test_passages_do_not_depend_on_the_split(spark):
 
 
 def shared_lead_ins(n=24, tail=40):
-    """Texts of one lead-in of thirty words and two-words of their own before; behind it pairs of texts go on alike, in an order that parts them."""
+    """Texts of one lead-in of thirty words, with words of their own before it; behind it two texts each, n / 2 apart, go on alike."""
     lead = " ".join(prose(9000, 30).split()[:30])
     return [(d, " ".join(prose(9100 + d, 30).split()[:30] + [lead] + prose(9300 + d % (n // 2), 120).split()[:tail] + prose(9500 + d, 30).split()[:30])) for d in range(n)]
 
