@@ -624,3 +624,39 @@ def test_pairs_of_large_keys_are_all(spark, monkeypatch):
     assert len(large) == 20 and rows["b"].isna().all()
     windows = spark.createDataFrame([tuple(int(x) for x in r) for r in large[["a", "key", "c", "l", "r", "size"]].to_numpy()], "a long, key long, c long, l long, r long, size long")
     assert sorted(map(tuple, passage_dedup.all_pairs(windows, 46).collect())) == [(a, b) for a in range(20) for b in range(a + 1, 20)]
+
+
+def test_windows_of_one_document_make_no_large_key():
+    """Twenty windows of one document and one of another in one key: a pair, and no large key."""
+    e = np.zeros(21, passage_dedup._ENTRY)
+    e["v"], e["doc"], e["c"], e["r"], e["before"] = 7, [0] * 20 + [1], 30 + np.arange(21), 200, 5
+    e["far_before"] = e["far_behind"] = np.arange(21) + 1
+    columns = [e[n] if n != "doc" else np.diff(e[n], prepend=0) for n in passage_dedup._ENTRY.names]
+    blob = passage_dedup.zstandard.ZstdCompressor(1).compress(b"".join(c.tobytes() for c in columns))
+    rows = passage_dedup.paired(passage_dedup.pd.DataFrame({"bucket": [0], "entries": [blob]}), 46, 4)
+    assert rows["key"].isna().all() and rows[["a", "b"]].to_numpy().tolist() == [[0, 1]]
+
+
+def test_anchors(spark):
+    """Near passages have an anchor in common, a line of 13 words is none; of anchors of the same documents one is left."""
+    run = passage_dedup.run_length(46, 80)
+    assert run == 21
+    r = random.Random(4)
+    for n in range(300):
+        body = prose(n, 60).split()[: r.choice([50, 51, 58])]
+        edited = list(body)
+        at = r.randrange(len(edited))
+        edited[at : at + r.randint(0, 1)] = r.choice([[], ["changed"]])
+        data = [" ".join(prose(1000 + n, 30).split()[:20] + body + prose(2000 + n, 30).split()[:20]), " ".join(prose(3000 + n, 40).split()[:33] + edited + prose(4000 + n, 30).split()[:20])]
+        values, begin = passage_dedup.shingles(passage_dedup.Words([t.encode() for t in data], passage_dedup.ALNUM), 5)
+        text, key = passage_dedup.anchors(values, begin, run)
+        x, y = (values[begin[k] : begin[k + 1]] for k in (0, 1))
+        if passage_dedup.near_passages(x, y, 46, 80):
+            assert np.intersect1d(key[text == 0], key[text == 1]).size
+        assert passage_dedup.partners(x, [y, x, y], [False, True, True], 46, 80) == [sorted(set(passage_dedup.near_passages(x, z, 46, 80))) for z in (y, x, y)]
+    line = prose(1, 20).split()[:13]
+    data = [" ".join(prose(10 + k, 70).split()[:60] + line + prose(500 + k, 70).split()[:60]).encode() for k in range(30)]
+    text, key = passage_dedup.anchors(*passage_dedup.shingles(passage_dedup.Words(data, passage_dedup.ALNUM), 5), run)
+    assert len(np.unique(key)) == len(key)
+    rows = spark.createDataFrame([(d, k) for k in (1, 2, 3) for d in (5, 6, 7)] + [(5, 4), (6, 4), (9, 5)], "a long, key long")
+    assert sorted((x.a, x.key, x.size) for x in passage_dedup.shared_anchors(rows).collect()) == [(5, 1, 3), (5, 4, 2), (6, 1, 3), (6, 4, 2), (7, 1, 3)]
