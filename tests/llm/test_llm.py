@@ -660,3 +660,13 @@ def test_anchors(spark):
     assert len(np.unique(key)) == len(key)
     rows = spark.createDataFrame([(d, k) for k in (1, 2, 3) for d in (5, 6, 7)] + [(5, 4), (6, 4), (9, 5)], "a long, key long")
     assert sorted((x.a, x.key, x.size) for x in passage_dedup.shared_anchors(rows).collect()) == [(5, 1, 3), (5, 4, 2), (6, 1, 3), (6, 4, 2), (7, 1, 3)]
+
+
+def test_tiles_lay_all_blocks_on_each_other(spark):
+    """Each two of 13 blocks are in one tile, and a block is sent seven times, not thirteen."""
+    rows = media.tiled(spark.range(13).selectExpr("cast(id AS int) AS block", "cast(cast(id AS string) AS binary) AS images"), 13, 2).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault((r.low, r.high), []).append((r.tile, r.block))
+    pairs = sorted((x, y) for (low, high), own in groups.items() for t, x in own if t == low for u, y in own if u == high and y >= x)
+    assert pairs == [(x, y) for x in range(13) for y in range(x, 13)] and len(rows) == 13 * 7
