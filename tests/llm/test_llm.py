@@ -670,3 +670,33 @@ def test_tiles_lay_all_blocks_on_each_other(spark):
         groups.setdefault((r.low, r.high), []).append((r.tile, r.block))
     pairs = sorted((x, y) for (low, high), own in groups.items() for t, x in own if t == low for u, y in own if u == high and y >= x)
     assert pairs == [(x, y) for x in range(13) for y in range(x, 13)] and len(rows) == 13 * 7
+
+
+def test_passages_of_families_are_condensed(spark, monkeypatch):
+    """A family's rows do not grow with its square, whatever the size of tiles, and the report is that of all its pairs; `settled` and `bounds` leave out no passage."""
+    monkeypatch.setattr(passage_dedup, "SIDE", 7)
+    r = np.random.default_rng(11)
+    vocabulary = np.array([f"w{i}" for i in range(3000)])
+    base, data = r.choice(vocabulary, 160), []
+    for d in range(45):
+        words = base.copy()
+        for k in r.integers(0, len(words), d % 4):
+            words[k] = f"x{d}"
+        own = r.choice(vocabulary, 70)
+        data.append((3 * d, " ".join([*own, *words[20 * (d % 3) :], *(["of"] * 60 if d % 5 == 0 else own[:9]), *(own[:50] if d % 7 == 0 else ())])))
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    tokens = {d: passage_dedup.shingles(passage_dedup.Words([t.encode()], passage_dedup.ALNUM), 5)[0] for d, t in data}
+    want = {(a, b, s, t + 4) for a in tokens for b in tokens if a < b for s, t in passage_dedup.near_passages(tokens[a], tokens[b], 46, 80)}
+    ids = np.array(list(tokens))
+    every, few = (passage_dedup.tile_rows((ids, list(tokens.values())), None, 46, 80, x) for x in (True, False))
+    assert set(every) == want and len(few) < 4 * len(data) < len(want)
+    left, right = np.arange(45) % 2 == 0, np.arange(45) % 2 == 1
+    across = passage_dedup.tile_rows(*((ids[s], [tokens[i] for i in ids[s]]) for s in (left, right)), 46, 80, True)
+    assert set(across) == {x for x in want if (x[0] + x[1]) % 2}
+    lows, spans = {}, {}
+    for a, b, s, t in want:
+        lows[b] = min(a, lows.get(b, a))
+        spans.setdefault(b, set()).update(range(s, t))
+    got = {x.doc_id: x for x in passage_dedup.passage_report(frame).collect()}
+    assert {i: (x.repeats, x.n_repeated) for i, x in got.items() if x.repeats is not None} == {b: (lows[b], len(spans[b])) for b in lows}
+    assert {x.class_id for i, x in got.items() if i in lows} == {0}
