@@ -217,3 +217,16 @@ def test_files_are_rewritten_in_pieces(spark, tmp_path):
     at.write_bytes(b"a" * 200_001)
     folders.rewrite(spark, str(at), skip=1, before=b" ", after=b"\n")
     assert at.read_bytes() == b" " + b"a" * 200_000 + b"\n"
+
+
+def test_ids_are_listed_whole_and_ascending(spark):
+    """srt_ids sorts the ids of each key and gives all of them, not its ends alone."""
+    from lexmill.plans import record_queries
+
+    at = "/root/testdata/sf0.001"
+    found = record_queries.QUERIES["srt_ids"](spark, at)
+    assert "array_sort" in _plan(found) or "sort_array" in _plan(found)
+    rows = found.collect()
+    own = {(r.key_type, r.key): sorted({x.ir_id for x in r.ids}) for r in search.key_rows(record_queries.normalized(spark, at)).groupBy("key_type", "key").agg(F.collect_list(F.struct("ir_id")).alias("ids")).collect()}
+    assert {(r.key_type, r.key): r.ir_ids.split(",") for r in rows} == own and max(map(len, own.values())) > 10
+    assert all((r.first, r.last) == (own[r.key_type, r.key][0], own[r.key_type, r.key][-1]) for r in rows)
