@@ -700,3 +700,33 @@ def test_passages_of_families_are_condensed(spark, monkeypatch):
     got = {x.doc_id: x for x in passage_dedup.passage_report(frame).collect()}
     assert {i: (x.repeats, x.n_repeated) for i, x in got.items() if x.repeats is not None} == {b: (lows[b], len(spans[b])) for b in lows}
     assert {x.class_id for i, x in got.items() if i in lows} == {0}
+
+
+def test_pairs_within_known_stretches_are_not_verified_one_by_one(monkeypatch):
+    """Where all that a pair can repeat lies within stretches that are known, also within several of them, it is not looked at again; cells leave out what tiles do."""
+    r, calls = np.random.default_rng(3), []
+    vocabulary = np.array([f"w{i}" for i in range(3000)])
+    shared, texts = [r.choice(vocabulary, 90) for _ in range(2)], {}
+    for d in range(40):
+        words = [x.copy() for x in shared]
+        for w in words:
+            w[30 + d % 9] = f"y{d % 3}"
+        texts[d] = " ".join([*r.choice(vocabulary, 120), *words[0], *r.choice(vocabulary, 120), *words[1], *r.choice(vocabulary, 120)])
+    tokens = {d: passage_dedup.shingles(passage_dedup.Words([t.encode()], passage_dedup.ALNUM), 5)[0] for d, t in texts.items()}
+    near = passage_dedup.near_passages
+    pairs = np.array([(a, b) for a in tokens for b in tokens if a < b])
+    spans, lows = {}, {}
+    for a, b in pairs.tolist():
+        for s, t in near(tokens[a], tokens[b], 46, 80):
+            spans.setdefault(b, set()).update(range(s, t + 4))
+            lows.setdefault(b, a)
+    monkeypatch.setattr(passage_dedup, "near_passages", lambda *x: calls.append(1) or near(*x))
+    for rows in (passage_dedup.tile_rows((np.array(list(tokens)), list(tokens.values())), None, 46, 80, False), passage_dedup.cell_rows(pairs, tokens, 46, 80)):
+        found = {}
+        for a, b, s, t in rows:
+            if s is not None:
+                assert a == lows[b]
+                found.setdefault(b, set()).update(range(s, t))
+        assert found == spans and len(rows) < 3 * len(tokens)
+        assert len(calls) < len(pairs) / 4
+        calls.clear()
