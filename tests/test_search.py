@@ -230,3 +230,19 @@ def test_ids_are_listed_whole_and_ascending(spark):
     own = {(r.key_type, r.key): sorted({x.ir_id for x in r.ids}) for r in search.key_rows(record_queries.normalized(spark, at)).groupBy("key_type", "key").agg(F.collect_list(F.struct("ir_id")).alias("ids")).collect()}
     assert {(r.key_type, r.key): r.ir_ids.split(",") for r in rows} == own and max(map(len, own.values())) > 10
     assert all((r.first, r.last) == (own[r.key_type, r.key][0], own[r.key_type, r.key][-1]) for r in rows)
+
+
+def _written(df, at) -> int:
+    df.write.parquet(str(at))
+    return sum(x.stat().st_size for x in at.rglob("*.parquet"))
+
+
+def test_lists_that_many_queries_find_are_written_once(spark, tmp_path):
+    """Forty keys of 100 kB of ids and thirty queries each: a file of the matches holds each key's list once or a few times, not with every query."""
+    ids = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1600)), lambda j: F.sha2(F.concat(F.col("id").cast("string"), j.cast("string")), 256)), ",")
+    index = spark.range(40).select(F.when(F.col("id") % 2 == 0, "casefold").otherwise("nospace").alias("key_type"), F.concat(F.lit("k"), "id").alias("key"), ids.alias("ir_ids"))
+    queries = spark.range(1200).select(F.col("id").alias("query_id"), F.concat(F.lit("k"), F.col("id") % 40).alias("query"))
+    found = search.ladder_lookup(queries, index)
+    assert found.where("ir_ids IS NOT NULL").count() == 1200
+    size = _written(found, tmp_path / "x")
+    assert size < 20_000_000, size
