@@ -246,3 +246,17 @@ def test_lists_that_many_queries_find_are_written_once(spark, tmp_path):
     assert found.where("ir_ids IS NOT NULL").count() == 1200
     size = _written(found, tmp_path / "x")
     assert size < 20_000_000, size
+
+
+def test_records_of_many_queries_are_side_by_side(spark, tmp_path):
+    """1500 queries of each of two keys of 1500 records: the rows of a block of queries follow one another, a record's side by side, so files of them are short."""
+    name = F.concat(F.lit("r"), F.sha2(F.col("id").cast("string"), 256)).alias("ir_id")
+    records_ = spark.range(1500).select(name, F.lit("f").alias("preferred_form"))
+    kind = F.when(F.col("id") % 2 == 0, "casefold").otherwise("nospace")
+    index = records_.agg(F.array_sort(F.collect_list("ir_id")).alias("ir_ids")).crossJoin(spark.range(2)).select(kind.alias("key_type"), F.concat(F.lit("k"), F.col("id") % 2).alias("key"), "ir_ids")
+    level = spark.range(3000).select(F.col("id").alias("query_id"), kind.alias("matched_key_type"), F.concat(F.lit("k"), F.col("id") % 2).alias("matched_key"))
+    found = search.resolved_lookup(level, index, records_)
+    rows = found.groupBy("query_id").agg(F.count_distinct("pos").alias("n"), F.max("pos").alias("last")).select("n", "last").distinct().collect()
+    assert [tuple(r) for r in rows] == [(1500, 1499)] and found.count() == 3000 * 1500
+    size = _written(found, tmp_path / "x")
+    assert size < 3_500_000, size
